@@ -31,4 +31,53 @@ SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit,
 FROM d LEFT JOIN pos USING (doc_id) LEFT JOIN ids USING (doc_id)
 """
 
-ORACLES = {"op1_decontaminate": OP1}
+OP7 = r"""
+WITH d AS (
+  SELECT doc_id, coalesce(lang, '') AS lang, coalesce(text, '') AS t,
+    list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents
+),
+grams AS (SELECT doc_id, i, w[i] || ' ' || w[i+1] || ' ' || w[i+2] AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM d WHERE len(w) >= 3)),
+again AS (
+  SELECT doc_id, count(DISTINCT p) AS n FROM (
+    SELECT doc_id, unnest(range(i, i + 3)) AS p FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, g) AS c FROM grams) WHERE c > 1
+  ) GROUP BY doc_id
+),
+base AS (
+  SELECT doc_id, lang, w, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars,
+    length(regexp_replace(t, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols,
+    list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l,
+    length(regexp_replace(t, '[^A-Z]', '', 'g')) AS upper_, length(regexp_replace(t, '[^0-9]', '', 'g')) AS digit_,
+    length(regexp_replace(t, '[\x00-\x7F]', '', 'g')) AS wide_,
+    length(regexp_replace(t, '[^!"''()+,./:;=?@\[\\\]^_`{}~-]', '', 'g')) AS point_, length(t) AS chars
+  FROM d
+),
+shorts AS (SELECT lang, x, count(*) AS c FROM (SELECT lang, unnest(w) AS x FROM d) WHERE length(x) <= 5 GROUP BY ALL),
+common AS (SELECT lang, x, r FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY c DESC, x) AS r FROM shorts) WHERE r <= 24),
+hits AS (SELECT doc_id, lang, r, count(*) AS c FROM (SELECT doc_id, lang, unnest(w) AS x FROM d) JOIN common USING (lang, x) GROUP BY ALL),
+bins AS (
+  SELECT doc_id, lang, 'w' AS kind, r AS b, c::DOUBLE AS c FROM hits
+  UNION ALL SELECT doc_id, lang, 'w', 25, n_words - coalesce((SELECT sum(c) FROM hits h WHERE h.doc_id = base.doc_id), 0) FROM base
+  UNION ALL SELECT doc_id, lang, 'c', 1, upper_ FROM base UNION ALL SELECT doc_id, lang, 'c', 2, digit_ FROM base
+  UNION ALL SELECT doc_id, lang, 'c', 3, n_symbols FROM base UNION ALL SELECT doc_id, lang, 'c', 4, point_ FROM base
+  UNION ALL SELECT doc_id, lang, 'c', 5, wide_ FROM base UNION ALL SELECT doc_id, lang, 'c', 6, chars - word_chars FROM base
+  UNION ALL SELECT doc_id, lang, 'c', 7, word_chars - upper_ - digit_ - n_symbols - point_ - wide_ FROM base
+),
+own AS (SELECT doc_id, lang, kind, b, c / nullif(sum(c) OVER (PARTITION BY doc_id, kind), 0) AS p FROM bins),
+ref AS (SELECT lang, kind, b, sum(c) / nullif(sum(sum(c)) OVER (PARTITION BY lang, kind), 0) AS q FROM bins GROUP BY lang, kind, b),
+size AS (SELECT lang, sum(n_words) AS n FROM base GROUP BY lang),
+js AS (
+  SELECT doc_id, kind, sqrt(greatest(sum(
+    (CASE WHEN p > 0 THEN p * log2(p / ((p + q) / 2)) ELSE 0 END + CASE WHEN q > 0 THEN q * log2(q / ((p + q) / 2)) ELSE 0 END) / 2), 0)) AS js
+  FROM (
+    SELECT x.doc_id, ref.kind, coalesce(p, 0) AS p, q FROM (SELECT DISTINCT doc_id, lang FROM base) x JOIN ref USING (lang)
+    LEFT JOIN own ON own.doc_id = x.doc_id AND own.kind = ref.kind AND own.b = ref.b
+  ) GROUP BY ALL
+),
+far AS (SELECT doc_id, max(CASE WHEN kind = 'c' THEN js > 0.35 ELSE js > 0.47 END) AS far FROM js GROUP BY doc_id)
+SELECT doc_id, n_words, word_chars, n_symbols, (len(l) - len(list_distinct(l)))::BIGINT AS n_dup_lines, coalesce(again.n, 0)::BIGINT AS n_repeat_words,
+  n_words < 50 OR 100 * coalesce(again.n, 0) > 50 * n_words AS base_failed,
+  NOT (n_words < 50 OR 100 * coalesce(again.n, 0) > 50 * n_words) AND NOT (coalesce(far, false) AND size.n >= 5000) AS kept
+FROM base JOIN size USING (lang) LEFT JOIN again USING (doc_id) LEFT JOIN far USING (doc_id)
+"""
+
+ORACLES = {"op1_decontaminate": OP1, "op7_quality": OP7}
