@@ -22,6 +22,8 @@ from itertools import chain
 
 from pyspark.sql import DataFrame
 
+from .common import ship
+
 #: Distinct pieces, and token pairs, that a worker keeps; past that it starts anew.
 CACHE_ENTRIES = 400_000
 
@@ -260,6 +262,7 @@ def digests(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
 
 
 def _map(docs: DataFrame, ranks_path: str, pattern: str, schema: str, digest: bool) -> DataFrame:
+    ship(docs.sparkSession)
     content = docs.sparkSession.sparkContext.broadcast(read_ranks(ranks_path))
 
     def run(batches: Iterator) -> Iterator:

@@ -25,7 +25,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import scratch
+from .common import scratch, ship
 from .components import roots
 
 RADIUS = 4
@@ -70,6 +70,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
             prints = np.array([fingerprint(t.as_py() or b"") for t in texts], np.uint64)
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(prints.view(np.int64))], names=["doc_id", "fp"])
 
+    ship(docs.sparkSession)
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, fp bigint")
 
 
@@ -148,6 +149,7 @@ def _search(batches: Iterator) -> Iterator:
 
 def classes(prints: DataFrame) -> DataFrame:
     """(fp, component_id) for each distinct fingerprint of (doc_id, fp)."""
+    ship(prints.sparkSession)
     distinct = scratch(prints.groupBy("fp").agg(F.min("doc_id").alias("first")), "fingerprints")
     segments = 3 if distinct.count() <= NARROW_UP_TO else 2
     filed = distinct.select("fp", F.explode(_filed(F.col("fp"), segments)).alias("x")).select("x.bucket", "fp", "x.exact")
