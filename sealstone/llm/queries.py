@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, pii, quality, secrets, simhash
+from . import bpe, decontaminate, pii, quality, secrets, simhash, toxicity
 from .common import table
 
 
@@ -27,6 +27,10 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(table(spark, sf_dir, "documents")).drop("js_chars", "js_words")
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -35,4 +39,4 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.find(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_decontaminate, op3_bpe, op5_pii, op7_quality, op9_simhash, op10_secrets)}
+QUERIES = {f.__name__: f for f in (op1_decontaminate, op3_bpe, op5_pii, op7_quality, op8_toxicity, op9_simhash, op10_secrets)}
