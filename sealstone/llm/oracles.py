@@ -80,4 +80,16 @@ SELECT doc_id, n_words, word_chars, n_symbols, (len(l) - len(list_distinct(l))):
 FROM base JOIN size USING (lang) LEFT JOIN again USING (doc_id) LEFT JOIN far USING (doc_id)
 """
 
-ORACLES = {"op1_decontaminate": OP1, "op7_quality": OP7}
+OP4 = r"""
+WITH t AS (
+  SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS n, count(*) OVER (PARTITION BY conv_id) AS total, role, text FROM conversations
+),
+p AS (SELECT conv_id, n, total, string_agg(md5(role || chr(0) || text), '') OVER (PARTITION BY conv_id ORDER BY n) AS h FROM t),
+whole AS (SELECT n, h, min(conv_id) AS conv_id, count(*)::BIGINT AS copies FROM p WHERE n = total GROUP BY n, h),
+kept AS (SELECT * FROM whole w WHERE NOT EXISTS (SELECT 1 FROM p WHERE p.n < p.total AND p.n = w.n AND p.h = w.h))
+SELECT conv_id, k.n::BIGINT AS n_turns, copies,
+  string_agg('<|im_start|>' || role || chr(10) || regexp_replace(text, '<\|(im_start|im_end)\|>', '<| \1 |>', 'g') || '<|im_end|>' || chr(10), '' ORDER BY t.n) AS rendered
+FROM kept k JOIN t USING (conv_id) GROUP BY conv_id, k.n, copies
+"""
+
+ORACLES = {"op1_decontaminate": OP1, "op4_chat": OP4, "op7_quality": OP7}

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, pii, quality, secrets, simhash, toxicity
+from . import bpe, chat, decontaminate, pii, quality, secrets, sharding, simhash, toxicity
 from .common import table
 
 
@@ -19,10 +19,18 @@ def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN)
 
 
+def op4_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.render(table(spark, sf_dir, "conversations"))
+
+
 def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find(table(spark, sf_dir, "documents"))
 
 
+def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.place(table(spark, sf_dir, "documents").select("doc_id", "text"), sharding.names()).select("doc_id", "slot", "shard")
+
+
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(table(spark, sf_dir, "documents")).drop("js_chars", "js_words")
 
@@ -39,4 +47,4 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.find(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_decontaminate, op3_bpe, op5_pii, op7_quality, op8_toxicity, op9_simhash, op10_secrets)}
+QUERIES = {f.__name__: f for f in (op1_decontaminate, op3_bpe, op4_chat, op5_pii, op6_sharding, op7_quality, op8_toxicity, op9_simhash, op10_secrets)}
