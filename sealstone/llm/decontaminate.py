@@ -148,6 +148,22 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     share an id count once. An empty benchmark leaves all documents clean, an
     empty `docs` gives no rows. Other columns of either table are not read.
     """
+    return _hits(docs.select(F.monotonically_increasing_id().alias("rid"), "doc_id", "text"), benchmark)
+
+
+def keep_clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """`docs` without contaminated rows, all columns kept.
+
+    Rows are numbered in a written table first, so repeated rows and null
+    doc_ids are told apart; few rows are contaminated, and they are taken out
+    by an anti-join on that number.
+    """
+    numbered = scratch(docs.withColumn("__row__", F.monotonically_increasing_id()), "keep_clean")
+    bad = _hits(numbered.select(F.col("__row__").alias("rid"), F.lit(None).cast("long").alias("doc_id"), "text"), benchmark).where("contaminated")
+    return numbered.join(scratch(bad.select(F.col("rid").alias("__row__")), "contaminated"), "__row__", "left_anti").drop("__row__")
+
+
+def _hits(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     benchmark = benchmark.select("item_id", "text")
     long, short = item_fingerprints(benchmark)
     bits, short_bits = _bitmap(long), _bitmap(short)
@@ -159,7 +175,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
             _candidates(w, short_bits, 1).alias("anchors"),
         ),
     )
-    slim = docs.select("doc_id", "text").select(F.monotonically_increasing_id().alias("rid"), "doc_id", found.alias("f"))
+    slim = docs.select("rid", "doc_id", found.alias("f"))
     slim = scratch(slim.select("rid", "doc_id", "f.*"), "decontaminate")
 
     spans = None

@@ -47,4 +47,10 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.find(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_decontaminate, op3_bpe, op4_chat, op5_pii, op6_sharding, op7_quality, op8_toxicity, op9_simhash, op10_secrets)}
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
+QUERIES = {f.__name__: f for f in (op1_decontaminate, op3_bpe, op4_chat, op5_pii, op6_sharding, op7_quality, op8_toxicity, op9_simhash, op10_secrets, pipeline)}

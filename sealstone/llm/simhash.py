@@ -59,7 +59,8 @@ def fingerprint(text: bytes) -> int:
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """(doc_id, fp): a row for each row; fp is the fingerprint as a signed long."""
+    """(doc_id, fp): a row for each row; fp is the fingerprint as a signed long. A column __row__ goes along."""
+    more = [c for c in docs.columns if c == "__row__"]
 
     def run(batches: Iterator) -> Iterator:
         import numpy as np
@@ -68,10 +69,11 @@ def fingerprints(docs: DataFrame) -> DataFrame:
         for batch in batches:
             texts = batch.column(1).cast(pa.binary())
             prints = np.array([fingerprint(t.as_py() or b"") for t in texts], np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(prints.view(np.int64))], names=["doc_id", "fp"])
+            columns = [batch.column(0).cast(pa.int64()), pa.array(prints.view(np.int64)), *(batch.column(2) for _ in more)]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "fp", *more])
 
     ship(docs.sparkSession)
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, fp bigint")
+    return docs.select("doc_id", "text", *more).mapInArrow(run, "doc_id bigint, fp bigint" + "".join(f", {c} bigint" for c in more))
 
 
 def _ball(width: int, radius: int) -> list[int]:
@@ -176,15 +178,12 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 def keep_one(docs: DataFrame) -> DataFrame:
     """`docs` with one row of each group of near duplicates.
 
-    The row of least doc_id stays (null ids last), of those the one of least
-    text hash. Rows are numbered in a written table, so repeated rows differ.
+    The row of least doc_id stays (null ids last), of those the first. Rows
+    are numbered in a written table, so repeated rows differ.
     """
-    numbered = scratch(docs.withColumn("_row", F.monotonically_increasing_id()), "keep_one")
-    prints = scratch(
-        fingerprints(numbered.select(F.col("_row").alias("doc_id"), "text")).withColumnRenamed("doc_id", "_row")
-        .join(numbered.select("_row", F.col("doc_id").cast("long").alias("doc_id")), "_row"),
-        "keep_one_fp",
-    )
-    groups = prints.join(classes(prints.select(F.col("_row").alias("doc_id"), "fp")), "fp")
-    chosen = groups.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "_row")).alias("b"))
-    return numbered.join(chosen.select(F.col("b._row").alias("_row")), "_row", "left_semi").drop("_row")
+    numbered = scratch(docs.withColumn("__row__", F.monotonically_increasing_id()), "keep_one")
+    prints = scratch(fingerprints(numbered.select("doc_id", "text", "__row__")), "keep_one_fp")
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "__row__")).alias("b")
+    groups = prints.join(classes(prints.select(F.col("__row__").alias("doc_id"), "fp")), "fp")
+    chosen = groups.groupBy("component_id").agg(least)
+    return numbered.join(chosen.select(F.col("b.__row__").alias("__row__")), "__row__", "left_semi").drop("__row__")
