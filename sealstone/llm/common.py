@@ -41,6 +41,14 @@ def scratch(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def drop_scratch(df: DataFrame) -> None:
+    """Delete the files of a scratch table that nothing will read again."""
+    jvm, path = df.sparkSession._jvm, df.inputFiles()
+    if path:
+        folder = jvm.org.apache.hadoop.fs.Path(path[0]).getParent()
+        folder.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def ship(spark: SparkSession) -> None:
     """Give this package to Python workers, once a context.
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, decontaminate, pii, quality, secrets, sharding, simhash, toxicity
+from . import bpe, chat, decontaminate, pii, quality, secrets, sharding, simhash, suffix, toxicity
 from .common import table
 
 
@@ -12,6 +12,10 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("rid")
 
 
+def op2_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -53,4 +57,4 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_decontaminate, op3_bpe, op4_chat, op5_pii, op6_sharding, op7_quality, op8_toxicity, op9_simhash, op10_secrets, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_suffix, op3_bpe, op4_chat, op5_pii, op6_sharding, op7_quality, op8_toxicity, op9_simhash, op10_secrets, pipeline)}
