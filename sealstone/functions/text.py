@@ -9,8 +9,9 @@ from __future__ import annotations
 import unicodedata
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Accented Latin letters and their bare forms, by rule: one letter plus marks under compatibility decomposition.
 _PAIRS = [
@@ -53,7 +54,7 @@ def strip_accents(c: Column) -> Column:
     return F.regexp_replace(F.translate(c, ACCENTED, BARE), MARKS, "")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def strip_accents_full(s: pd.Series) -> pd.Series:
     """Compatibility decomposition without marks, for any script (ligatures unfold too)."""
     return s.map(lambda t: None if t is None else "".join(x for x in unicodedata.normalize("NFKD", t) if not unicodedata.combining(x)))
@@ -97,7 +98,7 @@ def fix_digit_confusions(c: Column) -> Column:
 
 def _date(y: Column, m: Column, d: Column) -> Column:
     year = F.when(F.length(y) == 2, y.cast("int") + 2000).otherwise(y.cast("int"))
-    return F.try_to_date(F.concat_ws("-", F.lpad(year.cast("string"), 4, "0"), F.lpad(m.cast("string"), 2, "0"), F.lpad(d, 2, "0")), F.lit("yyyy-MM-dd"))
+    return F.try_to_date(F.concat_ws("-", F.lpad(year.cast("string"), 4, "0"), F.lpad(m.cast("string"), 2, "0"), F.lpad(d, 2, "0")), "yyyy-MM-dd")
 
 
 def _month(name: Column) -> Column:
@@ -136,7 +137,7 @@ def parse_money(c: Column) -> Column:
     last_dot = F.length(t) - F.instr(F.reverse(t), ".")
     two = F.when(last_comma > last_dot, F.replace(F.replace(t, F.lit("."), F.lit("")), F.lit(","), F.lit("."))).otherwise(F.replace(t, F.lit(","), F.lit("")))
     one_dot = F.when(t.rlike(r"^\d*\.\d{2}$"), t).otherwise(F.replace(t, F.lit("."), F.lit("")))
-    last_of_commas = F.replace(F.substring_index(t, ",", F.regexp_count(t, F.lit(",")).cast("int")), F.lit(","), F.lit(""))
+    last_of_commas = F.replace(F.call_function("substring_index", t, F.lit(","), F.regexp_count(t, F.lit(",")).cast("int")), F.lit(","), F.lit(""))
     commas = F.concat(last_of_commas, F.lit("."), F.substring_index(t, ",", -1))
     plain = F.when((comma > 0) & (dot > 0), two).when(comma > 0, commas).when(dot > 0, one_dot).otherwise(t)
     return F.when(t.rlike(r"^[\d.,]*\d[\d.,]*$") & plain.rlike(r"^\d*(\.\d{1,2})?$"), plain.try_cast("decimal(18,2)"))
@@ -202,7 +203,7 @@ def token_set_ratio_of(a: str, b: str) -> float:
 
 
 def _pairwise(f):
-    @F.pandas_udf("double")
+    @F.pandas_udf(T.DoubleType())
     def run(a: pd.Series, b: pd.Series) -> pd.Series:
         return pd.Series([None if x is None or y is None else f(x, y) for x, y in zip(a, b)], dtype="float64")
 
@@ -212,42 +213,61 @@ def _pairwise(f):
 ratio, partial_ratio, token_set_ratio = map(_pairwise, (ratio_of, partial_ratio_of, token_set_ratio_of))
 
 
-@F.pandas_udf("double")
-def best_run_ratio(value: pd.Series, runs: pd.Series) -> pd.Series:
-    """Best ratio of a digit string with any of a list of runs; 0 without runs."""
-    return pd.Series([max((ratio_of(v or "", r) for r in (rs if rs is not None else ())), default=0.0) for v, rs in zip(value, runs)], dtype="float64")
+@F.pandas_udf(T.DoubleType())
+def fuzzy_score(kind: pd.Series, value: pd.Series, text: pd.Series, runs: pd.Series) -> pd.Series:
+    """Score of a value that no exact comparison settled; null for the others (kind null)."""
+    def one(k, v, t, rs):
+        if k is None or v is None:
+            return None
+        if k == "number":
+            return max((ratio_of(v, r) for r in (rs if rs is not None else ())), default=0.0)
+        return partial_ratio_of(v, t) if k == "code" else max(partial_ratio_of(v, t), token_set_ratio_of(v, t))
 
+    return pd.Series([one(*x) for x in zip(kind, value, text, runs)], dtype="float64")
 
-def match_field(name: Column, value: Column, text: Column, fuzzy: int = 85, code: int = 90) -> Column:
-    """Struct (kind, matched, score, method, found, conflict) of an expected value against a document's text."""
-    asked = infer_kind(name, value)
-    dates, amounts, runs = find_dates(text), find_money(text), digit_runs(fix_digit_confusions(text))
-    date, money, digits = parse_date(value), parse_money(value), digits_only(value)
+
+def match_fields(df: DataFrame, key: str, expected: str, text: str, fuzzy: int = 85, code: int = 90) -> DataFrame:
+    """(key, field, kind, matched, score, method, found, conflict) for each entry of the map `expected`.
+
+    A document's dates, amounts and number runs are found once; each expected
+    field is a row. Only rows that exact comparison leaves open are scored in
+    Python, all in one pass.
+    """
+    t = F.col(text)
+    read = df.select(
+        F.col(key), F.col(expected).alias("_expected"), find_dates(t).alias("_dates"), find_money(t).alias("_amounts"), digit_runs(fix_digit_confusions(t)).alias("_runs"),
+        normalize_code(t).alias("_code"), normalize_text(t).alias("_text"),
+    )
+    rows = read.select(key, "_dates", "_amounts", "_runs", "_code", "_text", F.explode("_expected").alias("field", "_value"))
+    v = F.col("_value")
+    rows = rows.select(
+        "*", infer_kind(F.col("field"), v).alias("_asked"), parse_date(v).alias("_date"), parse_money(v).alias("_money"), digits_only(v).alias("_digits"),
+        normalize_code(v).alias("_code_v"), normalize_text(v).alias("_text_v"),
+    )
+    c = F.col
     kind = (
-        F.when((asked == "date") & date.isNotNull(), "date").when((asked == "money") & money.isNotNull(), "money")
-        .when((asked == "number") & (digits != ""), "number").when(asked == "code", "code").otherwise("text")
+        F.when((c("_asked") == "date") & c("_date").isNotNull(), "date").when((c("_asked") == "money") & c("_money").isNotNull(), "money")
+        .when((c("_asked") == "number") & (c("_digits") != ""), "number").when(c("_asked") == "code", "code").otherwise("text")
+    )
+    rows = rows.withColumn("kind", kind)
+    in_run = F.array_contains("_runs", c("_digits")) | ((F.length("_digits") >= 4) & F.exists("_runs", lambda r: r.contains(c("_digits"))))
+    exact = (
+        F.when(c("kind") == "date", F.array_contains("_dates", c("_date"))).when(c("kind") == "money", F.array_contains("_amounts", c("_money")))
+        .when(c("kind") == "number", in_run).when(c("kind") == "code", c("_code").contains(c("_code_v"))).otherwise((c("_text_v") == "") | c("_text").contains(c("_text_v")))
+    )
+    rows = rows.withColumn("_exact", F.coalesce(exact, F.lit(False)))
+    open_ = F.when(~c("_exact") & c("kind").isin("number", "code", "text"), c("kind"))
+    asked = F.when(c("kind") == "number", c("_digits")).when(c("kind") == "code", c("_code_v")).otherwise(c("_text_v"))
+    body = F.when(c("kind") == "code", c("_code")).otherwise(c("_text"))
+    rows = rows.withColumn("_fuzzy", fuzzy_score(open_, asked, body, c("_runs")))
+    close = (
+        F.when(c("kind") == "number", (F.length("_digits") >= 6) & (c("_fuzzy") >= code)).when(c("kind") == "code", c("_fuzzy") >= code)
+        .when(c("kind") == "text", c("_fuzzy") >= fuzzy).otherwise(False)
     )
-    exact_run = F.array_contains(runs, digits) | ((F.length(digits) >= 4) & F.exists(runs, lambda r: r.contains(digits)))
-    best_run = best_run_ratio(digits, runs)
-    number_ok = exact_run | ((F.length(digits) >= 6) & (best_run >= code))
-    code_v, code_t = normalize_code(value), normalize_code(text)
-    code_score = F.when(code_t.contains(code_v), 100.0).otherwise(partial_ratio(code_v, code_t))
-    text_v, text_t = normalize_text(value), normalize_text(text)
-    text_score = F.when((text_v == "") | text_t.contains(text_v), 100.0).otherwise(F.greatest(partial_ratio(text_v, text_t), token_set_ratio(text_v, text_t)))
-
-    def made(matched: Column, score: Column, method, found: Column, conflict: Column) -> Column:
-        return F.struct(
-            kind.alias("kind"), matched.alias("matched"), score.cast("double").alias("score"),
-            (F.lit(method) if isinstance(method, str) else method).alias("method"), found.cast("string").alias("found"), conflict.alias("conflict"),
-        )
-
-    hit_date, hit_money = F.array_contains(dates, date), F.array_contains(amounts, money)
-    full = lambda ok: F.when(ok, 100.0).otherwise(0.0)
-    never = F.lit(False)
-    return (
-        F.when(kind == "date", made(F.coalesce(hit_date, never), full(hit_date), "date", F.get(dates, F.lit(0)), ~F.coalesce(hit_date, never) & (F.size(dates) > 0)))
-        .when(kind == "money", made(F.coalesce(hit_money, never), full(hit_money), "money", F.get(amounts, F.lit(0)), ~F.coalesce(hit_money, never) & (F.size(amounts) > 0)))
-        .when(kind == "number", made(number_ok, F.when(exact_run, 100.0).otherwise(best_run), F.when(exact_run, "number").otherwise("number_fuzzy"), F.get(runs, F.lit(0)), ~number_ok & (F.size(runs) > 0)))
-        .when(kind == "code", made(code_score >= code, code_score, F.when(code_score == 100.0, "code").otherwise("code_fuzzy"), F.lit(None), never))
-        .otherwise(made(text_score >= fuzzy, text_score, F.when(text_v == "", "empty").when(text_score == 100.0, "text").otherwise("text_fuzzy"), F.lit(None), never))
+    matched = c("_exact") | F.coalesce(close, F.lit(False))
+    found = F.when(c("kind") == "date", F.get("_dates", F.lit(0)).cast("string")).when(c("kind") == "money", F.get("_amounts", F.lit(0)).cast("string")).when(c("kind") == "number", F.get("_runs", F.lit(0)))
+    method = F.when((c("kind") == "text") & (c("_text_v") == ""), "empty").when(c("_exact") | c("kind").isin("date", "money"), c("kind")).otherwise(F.concat("kind", F.lit("_fuzzy")))
+    return rows.select(
+        key, "field", "kind", matched.alias("matched"), F.when(c("_exact"), 100.0).otherwise(F.coalesce("_fuzzy", F.lit(0.0))).alias("score"), method.alias("method"), found.alias("found"),
+        (~matched & c("kind").isin("date", "money", "number") & found.isNotNull()).alias("conflict"),
     )

@@ -10,6 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..config import DECISIONS, FRAUD, LEGITIMATE, PENDING, REVIEW, STATUSES
+from ..session import ship
 from .findings import rank_of
 
 LABELS = {FRAUD: 1, LEGITIMATE: 0}
@@ -84,6 +85,7 @@ def resolve_conflicts(candidates: DataFrame) -> DataFrame:
     before it in its analysis; others conflict. Rows stream sorted through each
     task and a single counter is kept, whatever an analysis' size.
     """
+    ship(candidates.sparkSession)
     rows = candidates.select("analysis_id", "event_id", "ts", "expected_version")
     ordered = rows.repartition("analysis_id").sortWithinPartitions("analysis_id", "ts", "event_id")
     schema = "analysis_id bigint, event_id bigint, expected_version bigint, version bigint, accepted boolean"
