@@ -359,7 +359,7 @@ def match_field(spark, sf_dir):
     orders, customer = b.read(spark, sf_dir, "orders"), b.read(spark, sf_dir, "customer")
     first = orders.groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.min("o_orderkey").alias("o_orderkey"))
     rows = _receipts(spark, sf_dir).join(first, "o_orderkey").join(customer.select("c_custkey", "c_name"), "c_custkey")
-    asked = {"pedido": F.col("o_orderkey").cast("string"), "data": F.col("date"), "valor": F.col("amount"), "destinatario": F.upper("c_name"), "data de emissao": F.lit("01/01/1901"), "codigo": F.lit("QQ-777")}
+    asked = {"pedido": F.col("o_orderkey").cast("string"), "data": F.col("date"), "valor": F.col("amount"), "destinatario": F.upper("c_name"), "data de emissao": F.lit("01/01/1901"), "codigo": F.lit("WX-98Y")}
     expected = F.create_map(*(x for k, v in asked.items() for x in (F.lit(k), v)))
     found = text.match_fields(rows.select("c_custkey", expected.alias("expected"), F.concat_ws("\n", "text", "c_name").alias("body")), "c_custkey", "expected", "body")
     return found.where("field <> 'pedido'").groupBy("field", "kind", "matched", "conflict").agg(F.count("*").alias("n"))
