@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import os
-import shutil
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -11,6 +9,10 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import ship
+
+__all__ = ["ship", "scratch", "drop_scratch", "checkpoint_root", "table", "let", "ascii_lower", "empty_array", "UPPER", "LOWER"]
+
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = UPPER.lower()
 
@@ -49,21 +51,6 @@ def drop_scratch(df: DataFrame) -> None:
         folder.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(folder, True)
 
 
-def ship(spark: SparkSession) -> None:
-    """Give this package to Python workers, once a context.
-
-    Spark pickles module functions by name; workers on other machines import
-    them from the archive that addPyFile hands out.
-    """
-    context = spark.sparkContext
-    if getattr(context, "_sealstone_shipped", False):
-        return
-    package = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
-    folder = tempfile.mkdtemp(prefix="sealstone-py-")
-    context.addPyFile(shutil.make_archive(os.path.join(folder, "sealstone"), "zip", os.path.dirname(package), os.path.basename(package)))
-    context._sealstone_shipped = True
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
