@@ -35,16 +35,17 @@ def segment(role: Column, text: Column) -> Column:
 def prefixes(turns: DataFrame) -> DataFrame:
     """(conv_id, n, last, a, b, c, d): prefix hashes of each conversation after its n-th turn."""
     role, text = F.coalesce("role", F.lit("\0")), F.coalesce("text", F.lit("\0"))
-    order = ["turn", "role", "text"]
-    rows = turns.select("conv_id", F.col("turn"), role.alias("role"), text.alias("text"), F.floor(F.col("turn") / BLOCK).alias("block"))
-    blocks = rows.groupBy("conv_id", "block").count()
+    rows = turns.select("conv_id", "turn", role.alias("role"), text.alias("text"), F.floor(F.col("turn") / BLOCK).alias("block"))
+    # Texts meet once, to order turns of one number; from here on there are only their hashes.
+    inside = F.row_number().over(W.partitionBy("conv_id", "block").orderBy("turn", "role", "text"))
+    rows = rows.select("conv_id", "block", inside.alias("inside"), F.xxhash64("role", "text").alias("x"), F.xxhash64(F.lit("g"), "text", "role").alias("y"))
+    blocks = rows.groupBy("conv_id", "block").agg(F.count("*").alias("count"))
     before = F.coalesce(F.sum("count").over(W.partitionBy("conv_id").orderBy("block").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     total = F.sum("count").over(W.partitionBy("conv_id"))
     starts = blocks.select(F.col("conv_id").alias("c_id"), F.col("block").alias("c_block"), before.alias("before"), total.alias("total"))
     same = rows.conv_id.eqNullSafe(starts.c_id) & rows.block.eqNullSafe(starts.c_block)
-    inside = F.row_number().over(W.partitionBy("conv_id", "block").orderBy(*order))
-    numbered = rows.join(starts, same).drop("c_id", "c_block").withColumn("n", F.col("before") + inside)
-    h, g = F.xxhash64("n", "role", "text"), F.xxhash64(F.lit("g"), "text", "n", "role")
+    numbered = rows.join(starts, same).drop("c_id", "c_block").withColumn("n", F.col("before") + F.col("inside"))
+    h, g = F.xxhash64("n", "x", "y"), F.xxhash64("y", "n", "x")
     low = lambda x: x.bitwiseAND(F.lit(0xFFFFFFFF))
     numbered = numbered.select(
         "conv_id", "block", "n", F.col("total"), low(h).alias("a"), F.shiftrightunsigned(h, 32).alias("b"), low(g).alias("c"), F.shiftrightunsigned(g, 32).alias("d"),
