@@ -80,6 +80,22 @@ SELECT doc_id, n_words, word_chars, n_symbols, (len(l) - len(list_distinct(l))):
 FROM base JOIN size USING (lang) LEFT JOIN again USING (doc_id) LEFT JOIN far USING (doc_id)
 """
 
+#: Texts as hexadecimal digits, two a byte; every 200-byte window by its MD5.
+OP2 = """
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, hex(encode(coalesce(text, ''))) AS h, strlen(coalesce(text, ''))::BIGINT AS n FROM documents),
+part AS (SELECT rid, n, b, substr(h, 2 * b + 1, 910) AS x FROM (SELECT rid, n, h, unnest(range(0, n - 199, 256)) AS b FROM d WHERE n >= 200)),
+w AS (SELECT rid, b + q AS p, md5_number(substr(x, 2 * q + 1, 400)) AS k FROM (SELECT rid, b, x, unnest(range(0, least(256, n - 199 - b))) AS q FROM part)),
+again AS (SELECT rid, p FROM w WHERE k IN (SELECT k FROM w GROUP BY k HAVING count(*) > 1)),
+edge AS (SELECT rid, p, CASE WHEN p - lag(p) OVER (PARTITION BY rid ORDER BY p) <= 200 THEN 0 ELSE 1 END AS s FROM again),
+span AS (SELECT rid, min(p) AS lo, max(p) + 200 AS hi FROM (SELECT rid, p, sum(s) OVER (PARTITION BY rid ORDER BY p) AS g FROM edge) GROUP BY rid, g),
+cut AS (SELECT rid, lo, hi, coalesce(lag(hi) OVER (PARTITION BY rid ORDER BY lo), 0) AS since FROM span),
+kept AS (
+  SELECT rid, sum(hi - lo)::BIGINT AS n_removed, count(*)::BIGINT AS n_spans, string_agg(substr(h, 2 * since + 1, 2 * (lo - since)), '' ORDER BY lo) || substr(any_value(h), 2 * max(hi) + 1) AS h
+  FROM cut JOIN d USING (rid) GROUP BY rid
+)
+SELECT doc_id, n AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kept.h, d.h))) AS kept_sha256 FROM d LEFT JOIN kept USING (rid)
+"""
+
 OP4 = r"""
 WITH t AS (
   SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS n, count(*) OVER (PARTITION BY conv_id) AS total, role, text FROM conversations
@@ -92,4 +108,4 @@ SELECT conv_id, k.n::BIGINT AS n_turns, copies,
 FROM kept k JOIN t USING (conv_id) GROUP BY conv_id, k.n, copies
 """
 
-ORACLES = {"op1_decontaminate": OP1, "op4_chat": OP4, "op7_quality": OP7}
+ORACLES = {"op1_decontaminate": OP1, "op2_suffix": OP2, "op4_chat": OP4, "op7_quality": OP7}
