@@ -39,8 +39,8 @@ SPAN = LENGTH - GRAM + 1
 #: Bits of a sort key that hold a gram's place, so that of equal grams the first wins.
 PLACE = 20
 #: Bytes of text hashed at once, and of piece texts indexed at once.
-CHUNK = 2 << 20
-INDEX = 3 << 20
+CHUNK = 1 << 20
+INDEX = 5 << 18
 HOT = 4096
 PIECES = "doc_id bigint, t bigint, n int, a bigint, s bigint, start int, windows int"
 
@@ -320,7 +320,8 @@ def repeats(keyed: DataFrame) -> DataFrame:
     spark = keyed.sparkSession
     ship(spark)
     pieces = scratch(keyed.select("doc_id", "t", F.col("text").cast("binary").alias("text")).mapInArrow(_cut, PIECES), "pieces")
-    shared = pieces.groupBy("a").agg(F.count("*").alias("c")).where("c > 1").select("a")
+    # Written first, so that the join's sides are plain exchanges and a hot anchor's partition can be split.
+    shared = scratch(pieces.groupBy("a").agg(F.count("*").alias("c")).where("c > 1").select("a"), "shared_anchors")
     some = scratch(pieces.join(shared, "a", "left_semi"), "shared_pieces")
     drop_scratch(pieces)
     one = F.min(F.struct("doc_id", "t", "n", "start", "windows")).alias("r")
