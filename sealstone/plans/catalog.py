@@ -378,7 +378,7 @@ def _words(spark, sf_dir):
 @query
 def typography_outliers(spark, sf_dir):
     out = layout.typography(_words(spark, sf_dir))
-    return longs(out.select("line", "word", F.round("height_dev", 4).alias("height_dev"), F.round("baseline_dev", 4).alias("baseline_dev")))
+    return longs(out.select("line", "word", F.round("height_dev", 9).alias("height_dev"), F.round("baseline_dev", 9).alias("baseline_dev")))
 
 
 @query
