@@ -124,8 +124,8 @@ def held_out(doc_id: Column) -> Column:
 def fit(docs: DataFrame, labels: DataFrame) -> tuple[dict[int, float], float, tuple[float, float]]:
     """Train on the SAMPLE first rows by hash of those that may be learnt.
 
-    Labels are narrow, so the sample is drawn from them and only its texts
-    move. A doc_id with two labels counts with the higher one.
+    Labels are narrow, so the sample is drawn from them; its size has a fixed
+    bound and it is broadcast, so no text is shuffled. A doc_id with two labels counts with the higher one.
     """
     import numpy as np
 
@@ -140,7 +140,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> tuple[dict[int, float], float, tu
             packed = [features(t or "").astype("<i4").tobytes() for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(packed, pa.binary()), batch.column(2).cast(pa.int32())], names=["doc_id", "x", "toxic"])
 
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(sample.select(F.col("doc_id").cast("long").alias("doc_id"), "toxic"), "doc_id")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(sample.select(F.col("doc_id").cast("long").alias("doc_id"), "toxic")), "doc_id")
     rows = texts.select("doc_id", "text", "toxic").mapInArrow(hashed, "doc_id bigint, x binary, toxic int")
     seen = set()
     got = []
