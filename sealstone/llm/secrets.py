@@ -33,6 +33,7 @@ KINDS = ("assign", "access", "hex")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]+")
+HEXLIKE = re.compile(r"[0-9A-Fa-f]+")
 KEYWORDS = ("password", "passwd", "secret", "token", "api_key", "apikey")
 LEAST = {"assign": 6, "access": 20, "hex": 24}
 TOKEN = re.compile(r"[A-Za-z0-9_]+(?:[+/.=-]+[A-Za-z0-9_]+)*|[^\sA-Za-z0-9_]")
@@ -51,15 +52,19 @@ LEAST_TOKEN = 4
 SCHEMA = "doc_id bigint, n_assign bigint, n_access bigint, n_hex bigint, base_sha256 string, spans string"
 
 
-def base_spans(text: str) -> list[tuple[int, int, int, int]]:
+def has_keyword(text: str) -> bool:
+    lower = text.lower()
+    return any(k in lower for k in KEYWORDS)
+
+
+def base_spans(text: str, keyword: bool | None = None, words: list[str] | None = None) -> list[tuple[int, int, int, int]]:
     """(start, kind, end, start of the value) of all base spans, by start, then kind."""
     out = []
-    lower = text.lower()
-    if any(k in lower for k in KEYWORDS):
+    if has_keyword(text) if keyword is None else keyword:
         out += [(m.start(), 0, m.end(), m.start(2)) for m in ASSIGN.finditer(text) if m.end(2) - m.start(2) >= LEAST["assign"]]
     if "AKIA" in text:
         out += [(m.start(), 1, m.end(), m.start()) for m in ACCESS.finditer(text) if m.end() - m.start() >= LEAST["access"]]
-    if max(map(len, text.split()), default=0) >= LEAST["hex"]:
+    if max(map(len, text.split() if words is None else words), default=0) >= LEAST["hex"]:
         for word in WORD.finditer(text):
             if word.end() - word.start() >= LEAST["hex"]:
                 out += [(m.start(), 2, m.end(), m.start()) for m in HEX.finditer(text, word.start(), word.end()) if m.end() - m.start() >= LEAST["hex"]]
@@ -85,7 +90,7 @@ def own_features(token: str) -> list[str]:
     out = ["bias", f"shape={_shape(token)}", f"size={_size(len(token))}", f"kinds={kinds}/{_size(len(token))}", f"variety={variety}/{_size(len(token))}"]
     if len(token) <= 12 and not digits:
         out.append(f"word={token.lower()}")
-    if len(token) >= 16 and all(c in "0123456789abcdefABCDEF" for c in token):
+    if len(token) >= 16 and HEXLIKE.fullmatch(token):
         out.append("hexlike")
     return out
 
@@ -100,9 +105,25 @@ def near_features(tokens: list[str], i: int) -> list[str]:
     return [f"p1={at(i - 1)}", f"p2={at(i - 2)}", f"p3={at(i - 3)}", f"n1={at(i + 1)}"]
 
 
-def file_features(text: str) -> list[str]:
-    lower = text.lower()
-    return [f"file_size={_size(len(text) >> 8)}", f"file_key={any(k in lower for k in KEYWORDS):d}", f"file_lines={_size(text.count(chr(10)))}"]
+def file_features(text: str, keyword: bool | None = None) -> list[str]:
+    keyword = has_keyword(text) if keyword is None else keyword
+    return [f"file_size={_size(len(text) >> 8)}", f"file_key={keyword:d}", f"file_lines={_size(text.count(chr(10)))}"]
+
+
+class _Margins(dict):
+    """Margins of words, worked out at first sight; a bounded number is kept."""
+
+    def __init__(self, work):
+        super().__init__()
+        self.work = work
+
+    def __missing__(self, word: str) -> float:
+        value = self.work(word)
+        if len(self) > CACHE_ENTRIES:
+            self.clear()
+        if len(word) <= 40:
+            self[word] = value
+        return value
 
 
 # --- the field -----------------------------------------------------------------------------------
@@ -114,7 +135,9 @@ class Field:
     def __init__(self, weights: dict[str, tuple[float, float, float]], moves: list[list[float]]):
         self.weights, self.moves = weights, moves
         self._own: dict[str, list[float]] = {}
-        self._margins: dict[str, float] = {}
+        self._forms: dict[tuple, list[float]] = {}
+        #: How far every token of a white-space word is from any tag but OUT, file features aside.
+        self.margins = _Margins(lambda word: min(map(self._token_margin, TOKEN.findall(word)), default=math.inf))
         gains: dict[str, list[float]] = {}
         for name, w in weights.items():
             if name[:3] in ("p1=", "p2=", "p3=", "n1="):
@@ -134,26 +157,26 @@ class Field:
         return total
 
     def own(self, token: str) -> list[float]:
+        """Score of a token's own features. Plain letter words that carry no weight of their own
+        score by their form, so most words of a corpus need no features."""
+        n = len(token)
+        if n >= LEAST_TOKEN and token.isascii() and token.isalpha() and (n > 12 or f"word={token.lower()}" not in self.weights):
+            form = 0 if token.islower() else 1 if token.istitle() else 2 if token.isupper() else 3
+            if form < 3 and not (n >= 16 and HEXLIKE.fullmatch(token)):
+                key = (form, _size(n), round(4 * len(set(token)) / n))
+                known = self._forms.get(key)
+                if known is None:
+                    known = self._forms[key] = self.score(own_features(token))
+                return known
         known = self._own.get(token)
         if known is None:
             if len(self._own) > CACHE_ENTRIES:
                 self._own.clear()
             known = self.score(own_features(token))
-            if len(token) <= 40:
+            if n <= 40:
                 self._own[token] = known
         return known
 
-    def margin(self, word: str) -> float:
-        """How far every token of a white-space word is from any tag but OUT, file features aside."""
-        known = self._margins.get(word)
-        if known is None:
-            if len(self._margins) > CACHE_ENTRIES:
-                self._margins.clear()
-            known = min(map(self._token_margin, TOKEN.findall(word)), default=math.inf)
-            if len(word) <= 40:
-                self._margins[word] = known
-        return known
-
     def _token_margin(self, token: str) -> float:
         if len(token) < LEAST_TOKEN:
             return math.inf
@@ -174,17 +197,17 @@ class Field:
             tags.append(tag)
         return tags[::-1]
 
-    def tag(self, text: str) -> list[tuple[int, int]]:
+    def tag(self, text: str, keyword: bool | None = None, words: list[str] | None = None) -> list[tuple[int, int]]:
         """(start, end) of the runs of tokens tagged as secret."""
-        whole = self.score(file_features(text))
+        whole = self.score(file_features(text, keyword))
         gain = max(whole[BEGIN], whole[INSIDE]) - whole[OUT]
-        if min(map(self.margin, text.split()), default=math.inf) > gain:
+        if min(map(self.margins.__getitem__, text.split() if words is None else words), default=math.inf) > gain:
             return []
         marks = list(TOKEN.finditer(text))
         tokens = [m[0] for m in marks]
         runs: list[list[int]] = []
         for i, token in enumerate(tokens):
-            if self.margin(token) <= gain:
+            if self._token_margin(token) <= gain:
                 if runs and runs[-1][-1] == i - 1:
                     runs[-1].append(i)
                 else:
@@ -312,9 +335,10 @@ def _kind(value: str) -> int:
 
 def scan(text: str, field: Field) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
     """(base spans, all spans) of a whole text as (start, kind, end), by start, then kind."""
-    base = [(a, k, e) for a, k, e, _ in base_spans(text)]
+    keyword, words = has_keyword(text), text.split()
+    base = [(a, k, e) for a, k, e, _ in base_spans(text, keyword, words)]
     added, k, reach = [], 0, 0
-    for a, e in field.tag(text):
+    for a, e in field.tag(text, keyword, words):
         while k < len(base) and base[k][0] < e:
             reach = max(reach, base[k][2])
             k += 1
