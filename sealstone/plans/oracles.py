@@ -129,6 +129,7 @@ ORACLES = {
     "infer_kind": "SELECT * FROM (VALUES ('data', 'x', 'date'), ('valor total', '1', 'money'), ('nota fiscal', '12', 'code'), ('order', '1', 'number'), ('campo', '04/09/2026', 'date'), ('campo', 'R$ 10,00', 'money'), ('campo', '1.250,00', 'money'), ('campo', '12345', 'number'), ('campo', 'AB-12', 'code'), ('campo', 'Maria Silva', 'text'), ('Código', 'x', 'code'), ('CPF', 'x', 'number')) t(name, value, kind)",
     "digit_confusions": "SELECT p_partkey, 'Pedido ' || CASE WHEN len(regexp_replace('7' || p_partkey || '9', '[01]', '', 'g')) * 2 >= len('7' || p_partkey || '9') THEN '7' || p_partkey || '9' ELSE translate('7' || p_partkey || '9', '01', 'Ol') END || ' OLIVEIRA' AS fixed FROM part",
     "match_field": "SELECT field, kind, matched, conflict, (SELECT count(DISTINCT o_custkey) FROM orders) AS n FROM (VALUES ('data', 'date', true, false), ('valor', 'money', true, false), ('destinatario', 'text', true, false), ('data de emissao', 'date', false, true), ('codigo', 'code', false, false)) t(field, kind, matched, conflict)",
+    "match_field_orders": "SELECT field, kind, matched, conflict, (SELECT count(*) FROM orders) AS n FROM (VALUES ('data', 'date', true, false), ('valor', 'money', true, false), ('destinatario', 'text', true, false), ('data de emissao', 'date', false, true), ('codigo', 'code', false, false)) t(field, kind, matched, conflict) UNION ALL SELECT 'pedido', 'number', o_orderkey > 99, o_orderkey <= 99, count(*) FROM orders GROUP BY ALL",
     "typography_outliers": "WITH w AS (SELECT l_orderkey AS line, l_linenumber AS word, l_quantity AS h, l_extendedprice / 1000 AS b, median(l_quantity) OVER (PARTITION BY l_orderkey) AS mh, median(l_extendedprice / 1000) OVER (PARTITION BY l_orderkey) AS mb, count(*) OVER (PARTITION BY l_orderkey) AS n FROM lineitem), o AS (SELECT *, (h - mh) / mh AS hd, (b - mb) / mh AS bd FROM w WHERE n >= 3 AND mh > 0), k AS (SELECT *, count(*) OVER (PARTITION BY line) AS c FROM o WHERE abs(hd) >= 0.3 OR abs(bd) >= 0.35) SELECT line, word::BIGINT AS word, round(hd, 9) AS height_dev, round(bd, 9) AS baseline_dev FROM k WHERE c <= n / 2",
     "line_text": "WITH w AS (SELECT conv_id AS doc, turn // 2 AS line, turn, role || ':' || left(text, 20) AS t FROM conversations), l AS (SELECT doc, line, min(turn) AS top, string_agg(t, ' ' ORDER BY turn, t) AS t FROM w GROUP BY ALL) SELECT doc, string_agg(t, chr(10) ORDER BY top, line) AS text FROM l GROUP BY doc",
     "ghost_dip": f"WITH {GRID} SELECT image::BIGINT AS image, quality::BIGINT AS quality, round(median(dip), 6) AS median_dip, count(*) AS n FROM d GROUP BY ALL",

@@ -1,5 +1,6 @@
 """Every catalogue query against its DuckDB oracle on the smallest tables."""
 
+import datetime as dt
 import os
 
 import duckdb
@@ -51,3 +52,17 @@ def test_conflicts_equal_a_fold(spark):
         ok = r.expected_version is None or r.expected_version == n
         assert r.accepted == ok and r.version == (n + 1 if ok else None)
         done[r.analysis_id] = n + ok
+
+
+def test_fields_of_every_order_are_matched(spark, tmp_path):
+    day = dt.date(2024, 3, 1)
+    orders = [(100, 1, day, 10.5, "1-URGENT"), (101, 1, day, None, "1-URGENT"), (7, 2, day, 1250.0, "5-LOW")]
+    spark.createDataFrame(orders, "o_orderkey long, o_custkey long, o_orderdate date, o_totalprice double, o_orderpriority string").write.parquet(f"{tmp_path}/orders.parquet")
+    spark.createDataFrame([(1, "Ana Lima"), (2, "Hugo Rocha")], "c_custkey long, c_name string").write.parquet(f"{tmp_path}/customer.parquet")
+    got = lambda name: {(r.field, r.kind, r.matched, r.conflict): r.n for r in catalog.QUERIES[name](spark, str(tmp_path)).collect()}
+    by_order, by_customer = got("match_field_orders"), got("match_field")
+    # Order 101 has no price, so no text but the customer's name.
+    assert by_order["valor", "money", True, False] == 2 and by_order["valor", "text", False, False] == 1
+    assert by_order["pedido", "number", True, False] == by_order["pedido", "number", False, True] == by_order["pedido", "number", False, False] == 1
+    assert by_order["destinatario", "text", True, False] == 3 and by_order["codigo", "code", False, False] == 3
+    assert by_customer["valor", "money", True, False] == 2 and by_customer["valor", "text", False, False] == 1
