@@ -392,12 +392,20 @@ def typography_outliers(spark, sf_dir):
     return longs(out.select("line", "word", F.round("height_dev", 9).alias("height_dev"), F.round("baseline_dev", 9).alias("baseline_dev")))
 
 
+def _turns(spark, sf_dir, text):
+    turn = F.col("turn")
+    return b.read(spark, sf_dir, "conversations").select(F.col("conv_id").alias("doc"), F.floor(turn / 2).alias("line"), turn.alias("left"), turn.alias("top"), F.concat_ws(":", "role", text).alias("text"))
+
+
 @query
 def line_text(spark, sf_dir):
-    rows = b.read(spark, sf_dir, "conversations").select(
-        F.col("conv_id").alias("doc"), F.floor(F.col("turn") / 2).alias("line"), F.col("turn").alias("left"), F.col("turn").alias("top"), F.concat_ws(":", "role", F.substring("text", 1, 20)).alias("text"),
-    )
-    return layout.line_text(rows)
+    """Heads of turns, as its SQL asks; `line_text_whole` has the whole texts."""
+    return layout.line_text(_turns(spark, sf_dir, F.substring("text", 1, 20)))
+
+
+@query
+def line_text_whole(spark, sf_dir):
+    return layout.line_text(_turns(spark, sf_dir, F.col("text")))
 
 
 def _grid(spark, sf_dir):

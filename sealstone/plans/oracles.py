@@ -132,6 +132,7 @@ ORACLES = {
     "match_field_orders": "SELECT field, kind, matched, conflict, (SELECT count(*) FROM orders) AS n FROM (VALUES ('data', 'date', true, false), ('valor', 'money', true, false), ('destinatario', 'text', true, false), ('data de emissao', 'date', false, true), ('codigo', 'code', false, false)) t(field, kind, matched, conflict) UNION ALL SELECT 'pedido', 'number', o_orderkey > 99, o_orderkey <= 99, count(*) FROM orders GROUP BY ALL",
     "typography_outliers": "WITH w AS (SELECT l_orderkey AS line, l_linenumber AS word, l_quantity AS h, l_extendedprice / 1000 AS b, median(l_quantity) OVER (PARTITION BY l_orderkey) AS mh, median(l_extendedprice / 1000) OVER (PARTITION BY l_orderkey) AS mb, count(*) OVER (PARTITION BY l_orderkey) AS n FROM lineitem), o AS (SELECT *, (h - mh) / mh AS hd, (b - mb) / mh AS bd FROM w WHERE n >= 3 AND mh > 0), k AS (SELECT *, count(*) OVER (PARTITION BY line) AS c FROM o WHERE abs(hd) >= 0.3 OR abs(bd) >= 0.35) SELECT line, word::BIGINT AS word, round(hd, 9) AS height_dev, round(bd, 9) AS baseline_dev FROM k WHERE c <= n / 2",
     "line_text": "WITH w AS (SELECT conv_id AS doc, turn // 2 AS line, turn, role || ':' || left(text, 20) AS t FROM conversations), l AS (SELECT doc, line, min(turn) AS top, string_agg(t, ' ' ORDER BY turn, t) AS t FROM w GROUP BY ALL) SELECT doc, string_agg(t, chr(10) ORDER BY top, line) AS text FROM l GROUP BY doc",
+    "line_text_whole": "WITH w AS (SELECT conv_id AS doc, turn // 2 AS line, turn, role || ':' || text AS t FROM conversations), l AS (SELECT doc, line, min(turn) AS top, string_agg(t, ' ' ORDER BY turn, t) AS t FROM w GROUP BY ALL) SELECT doc, string_agg(t, chr(10) ORDER BY top, line) AS text FROM l GROUP BY doc",
     "ghost_dip": f"WITH {GRID} SELECT image::BIGINT AS image, quality::BIGINT AS quality, round(median(dip), 6) AS median_dip, count(*) AS n FROM d GROUP BY ALL",
     "ghost_candidate": f"WITH {GRID}, ok AS (SELECT image, quality FROM g GROUP BY ALL HAVING median(mse) >= 0.02), m AS (SELECT image, quality, median(dip) AS md FROM d JOIN ok USING (image, quality) GROUP BY ALL), b AS (SELECT * FROM m QUALIFY row_number() OVER (PARTITION BY image ORDER BY md DESC, quality) = 1), a AS (SELECT image, quality, md, median(abs(dip - md)) AS mad, count(*) AS blocks FROM d JOIN b USING (image, quality) GROUP BY ALL), t AS (SELECT *, least(0.25::DOUBLE * md, md - 1.4826::DOUBLE * mad) AS threshold FROM a) SELECT t.image::BIGINT AS image, t.quality::BIGINT AS quality, round(md, 6) AS median_dip, round(mad, 6) AS mad, round(threshold, 6) AS threshold, count(*) FILTER (dip < threshold) AS suspicious, any_value(blocks) AS blocks FROM t JOIN d USING (image, quality) GROUP BY ALL",
     "shift_clusters": "WITH p AS (SELECT l_linenumber AS image, l_partkey % 200 - 100 AS dx, l_suppkey % 200 - 100 AS dy FROM lineitem), n AS (SELECT image, CASE WHEN dx < 0 OR (dx = 0 AND dy < 0) THEN -dx ELSE dx END AS dx, CASE WHEN dx < 0 OR (dx = 0 AND dy < 0) THEN -dy ELSE dy END AS dy FROM p), b AS (SELECT image, floor(dx / 10)::BIGINT AS bx, floor(dy / 10)::BIGINT AS by_, count(*) AS n FROM n WHERE dx * dx + dy * dy >= 1600 GROUP BY ALL) SELECT x.image::BIGINT AS image, x.bx, x.by_ AS \"by\", x.n, sum(y.n)::BIGINT AS support FROM b x JOIN b y ON x.image = y.image AND abs(x.bx - y.bx) <= 1 AND abs(x.by_ - y.by_) <= 1 GROUP BY ALL HAVING sum(y.n) >= 10",

@@ -66,3 +66,9 @@ def test_fields_of_every_order_are_matched(spark, tmp_path):
     assert by_order["pedido", "number", True, False] == by_order["pedido", "number", False, True] == by_order["pedido", "number", False, False] == 1
     assert by_order["destinatario", "text", True, False] == 3 and by_order["codigo", "code", False, False] == 3
     assert by_customer["valor", "money", True, False] == 2 and by_customer["valor", "text", False, False] == 1
+
+
+def test_lines_hold_whole_turns(spark):
+    rows = catalog.b.read(spark, DATA, "conversations").collect()
+    got = {r.doc: r.text for r in catalog.QUERIES["line_text_whole"](spark, DATA).collect()}
+    assert any(len(r.text) > 20 for r in rows) and all(f"{r.role}:{r.text}" in got[r.conv_id] for r in rows if r.text is not None)
