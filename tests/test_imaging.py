@@ -99,6 +99,18 @@ def test_copy_move_finds_a_pasted_region():
     assert imaging.copy_move(flat, DEFAULT)["region"] is None
 
 
+@pytest.mark.parametrize("shift", [(240, 160), (241, 161), (242, 162), (243, 161), (-237, 162), (3, 201)])
+def test_copy_move_finds_any_shift(shift):
+    dx, dy = shift
+    gray = imaging.gray_of(paper(4))
+    x = 60 if dx > 0 else 320
+    pasted = gray.copy()
+    pasted[40 + dy : 136 + dy, x + dx : x + dx + 120] = gray[40:136, x : x + 120]
+    r = imaging.copy_move(pasted, DEFAULT)["region"]
+    ends = [(x, 40), (x + dx, 40 + dy)]  # either may be taken for the copy
+    assert r and any(abs(r["x"] - a) <= 8 and abs(r["y"] - b) <= 8 for a, b in ends)
+
+
 def test_hashes_survive_a_save_and_part_images():
     a, b = imaging.gray_of(paper(5)), imaging.gray_of(paper(6))
     again = imaging.gray_of(imaging.recompress(paper(5), 70))
