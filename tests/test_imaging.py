@@ -111,6 +111,18 @@ def test_copy_move_finds_any_shift(shift):
     assert r and any(abs(r["x"] - a) <= 8 and abs(r["y"] - b) <= 8 for a, b in ends)
 
 
+def test_copy_move_looks_past_frequent_repeats():
+    gray = imaging.gray_of(paper(7, 600, 800))
+    for k in range(6):  # six shifts of more blocks than the paste, in parts that are too small
+        a, b = 48 * k, 48 * (11 - k)
+        for y in range(0, 384, 48):
+            gray[y : y + 28, b : b + 28] = gray[y : y + 28, a : a + 28]
+    assert imaging.copy_move(gray, DEFAULT)["region"] is None
+    gray[480:520, 401:449] = gray[420:460, 20:68]
+    r = imaging.copy_move(gray, DEFAULT)["region"]
+    assert r and abs(r["x"] - 401) <= 8 and abs(r["y"] - 480) <= 8
+
+
 def test_hashes_survive_a_save_and_part_images():
     a, b = imaging.gray_of(paper(5)), imaging.gray_of(paper(6))
     again = imaging.gray_of(imaging.recompress(paper(5), 70))
