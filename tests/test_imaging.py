@@ -123,6 +123,22 @@ def test_copy_move_looks_past_frequent_repeats():
     assert r and abs(r["x"] - 401) <= 8 and abs(r["y"] - 480) <= 8
 
 
+def test_copy_move_spares_what_occurs_often():
+    gray = imaging.gray_of(paper(8, 600, 800))
+    gray[61:121, 500:580] = logo = gray[40:100, 40:120]
+    assert imaging.copy_move(gray, DEFAULT)["region"]
+    gray[401:461, 302:382] = logo
+    assert imaging.copy_move(gray, DEFAULT)["region"] is None
+
+
+def test_response_equals_correlation():
+    gray = imaging.gray_of(paper(9, 64, 80))
+    gray[40:, :30] = 128
+    got, patch = imaging._response(gray, gray[5:22, 9:30]), gray[5:22, 9:30]
+    want = [[imaging._ncc(gray[j : j + 17, i : i + 21], patch) for i in range(80 - 20)] for j in range(64 - 16)]
+    assert np.allclose(got, want, atol=1e-6)
+
+
 def test_hashes_survive_a_save_and_part_images():
     a, b = imaging.gray_of(paper(5)), imaging.gray_of(paper(6))
     again = imaging.gray_of(imaging.recompress(paper(5), 70))
