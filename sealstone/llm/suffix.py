@@ -38,8 +38,8 @@ GRAM = 24
 SPAN = LENGTH - GRAM + 1
 #: Bits of a sort key that hold a gram's place, so that of equal grams the first wins.
 PLACE = 20
-#: Bytes of text hashed at once, and of piece texts indexed at once.
-CHUNK = 1 << 20
+#: Windows of a text hashed at once, so few that all their grams' places fit; and bytes of piece texts indexed at once.
+CHUNK = (1 << PLACE) - LENGTH
 INDEX = 5 << 18
 HOT = 4096
 PIECES = "doc_id bigint, t bigint, n int, a bigint, s bigint, start int, windows int"

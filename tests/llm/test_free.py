@@ -75,6 +75,15 @@ def test_long_texts_are_cut_without_loss(monkeypatch):
     assert whole == set(range(5000 - 199))
 
 
+def test_runs_across_chunk_borders(spark):
+    rng = random.Random(5)
+    text = lambda n: "".join(rng.choices("cdefgh", k=n))
+    borders = (1 << 20, suffix.CHUNK)
+    rows = [(i, text(border - 150) + mark * 300 + text(500)) for i, (border, mark) in enumerate(zip(borders, "ab"))]
+    got = sorted(map(tuple, suffix.remove_repeats(spark.createDataFrame(rows, DOCS)).collect()), key=str)
+    assert [r[2] for r in got] == [300, 300] and got == plain_repeats(rows)
+
+
 def test_repeats_odd(spark, odd_docs):
     got = suffix.remove_repeats(odd_docs).collect()
     assert len(got) == 10 and {r.doc_id for r in got if r.n_removed} == {4} and suffix.remove_repeats(empty(spark)).count() == 0
