@@ -240,43 +240,82 @@ def test_secret_rules_equal_brute_force():
         assert [s[:3] for s in secrets.base_spans(t)] == want
 
 
+def prose(rng, n):
+    return " ".join("".join(rng.choice("etaoinshr") for _ in range(rng.randint(2, 9))) for _ in range(n))
+
+
+def hexes(rng, n=18):
+    return "".join(rng.choice("abcdef0123456789") for _ in range(n))
+
+
 @pytest.fixture(scope="module")
 def secret_docs():
+    """(documents, secrets planted in forms that the rules miss)."""
     rng = random.Random(11)
-    word = lambda: "".join(rng.choice("etaoinshr") for _ in range(rng.randint(2, 9)))
-    prose = lambda n: " ".join(word() for _ in range(n))
-    key = lambda: "".join(rng.choice("abcdef0123456789") for _ in range(18))
-    docs = [(i, f"{prose(40)} password={key()} {prose(30)} token = \"{key() + key()}\" {prose(10)}") for i in range(150)]
-    docs += [(i, prose(rng.randint(20, 200)) + f", page {rng.randint(1, 999)}.") for i in range(150, 400)]
-    return docs + [(900, f"{prose(20)} passcode = \"{key()}\" {prose(20)}"), (901, None), (902, "")]
+    docs = [(i, f"{prose(rng, 40)} password={hexes(rng)} {prose(rng, 30)} token = \"{hexes(rng, 36)}\" {prose(rng, 10)}") for i in range(200)]
+    docs += [(i, prose(rng, rng.randint(20, 200)) + f", page {rng.randint(1, 999)}, call +{rng.randint(1, 10**9)} or a.b{i}@mail.example.com!") for i in range(200, 500)]
+    forms = (
+        lambda: ("passcode = \"", hexes(rng), "\""), lambda: ("", hexes(rng, 36).upper(), ""), lambda: ("key ", hexes(rng), ","),
+        lambda: ("password = \"", f"{hexes(rng, 2)}#{hexes(rng, 3)}!{hexes(rng, 4)}$", "\""),
+    )
+    planted = {}
+    for i in range(1000, 1040):
+        before, value, behind = forms[i % len(forms)]()
+        head = f"{prose(rng, 25)} {before}"
+        docs.append((i, f"{head}{value}{behind} {prose(rng, 25)}"))
+        planted[i] = (len(head), len(head) + len(value.rstrip("$")))
+    return docs + [(1901, None), (1902, "")], planted
 
 
 def test_field_adds_what_rules_miss(spark, secret_docs):
-    got = {r.doc_id: r for r in secrets.find(spark.createDataFrame(secret_docs, DOCS)).collect()}
-    text = dict(secret_docs)[900]
-    value = re.search('"([^"]+)"', text)
-    assert got[900].n_assign + got[900].n_hex == 0 and got[900].spans == f"hex:{value.start(1)}:{value.end(1)}"
-    assert all(got[i].n_assign == 2 for i in range(150)) and all(got[i].spans == "" for i in [*range(150, 400), 901, 902])
+    docs, planted = secret_docs
+    got = {r.doc_id: [tuple(map(int, s.split(":")[1:])) for s in r.spans.split(",") if s] for r in secrets.find(spark.createDataFrame(docs, DOCS)).collect()}
+    base = {i: {(s[0], s[2]) for s in secrets.base_spans(t or "")} for i, t in docs}
+    hits = sum(any(a == p[0] and e >= p[1] for a, e in set(got[i]) - base[i]) for i, p in planted.items())
+    extra = sum(len(set(got[i]) - base[i]) for i, _ in docs)
+    assert hits >= 0.9 * len(planted) and hits >= 0.9 * extra, (hits, len(planted), extra)
+    assert all(base[i] <= set(got[i]) for i, _ in docs) and not any(got[i] for i in [*range(200, 500), 1901, 1902])
 
 
 def test_pruned_decoding_is_exact(secret_docs):
-    sequences = [w for i, t in secret_docs[:200] if t for w in secrets.windows(t, i < 150)]
+    """Against Viterbi over all tokens, in texts with short, long and symbol tokens too; no form of token is left out."""
+    docs, _ = secret_docs
+    rng = random.Random(6)
+    sequences = [w[2:] for i, t in docs[:300] if t for w in secrets.windows(t, i < 200)]
     field = secrets.train(sequences)
-    for _, text in secret_docs[:40] + secret_docs[380:]:
-        marks = list(secrets.TOKEN.finditer(text or ""))
-        tokens = [m[0] for m in marks]
-        if tokens:
-            whole = field.score(secrets.file_features(text))
-            rows = [[a + b for a, b in zip(whole, field.score(secrets.own_features(t) + secrets.near_features(tokens, i)))] if len(t) >= secrets.LEAST_TOKEN else [0.0, -1e18, -1e18] for i, t in enumerate(tokens)]
-            want, at = [], None
-            for i, tag in enumerate(field.viterbi(rows)):
-                if tag == secrets.INSIDE and at == i - 1:
-                    want[-1] = (want[-1][0], marks[i].end())
-                    at = i
-                elif tag != secrets.OUT:
-                    want.append((marks[i].start(), marks[i].end()))
-                    at = i
-            assert field.tag(text) == want
+    offset = dict(field.weights)
+    offset["bias"] = (offset["bias"][0] - 3.0, *offset["bias"][1:])  # so that much is tagged
+    odd = [f"token = \"x7q\" für {hexes(rng, 70)} %%% {prose(rng, 9)} {rng.choice(['a', '7', '=', 'A1#'])} é" for _ in range(30)]
+    for f in (field, secrets.Field(offset, field.moves)):
+        for text in [t for _, t in docs[:40] + docs[480:]] + odd:
+            marks = list(secrets.TOKEN.finditer(text or ""))
+            tokens = [m[0] for m in marks]
+            if tokens:
+                whole = f.score(secrets.file_features(text))
+                rows = [[a + b for a, b in zip(whole, f.score(secrets.own_features(t) + secrets.near_features(tokens, i)))] for i, t in enumerate(tokens)]
+                want, at = [], None
+                for i, tag in enumerate(f.viterbi(rows)):
+                    if tag == secrets.INSIDE and at == i - 1:
+                        want[-1] = (want[-1][0], marks[i].end())
+                        at = i
+                    elif tag != secrets.OUT:
+                        want.append((marks[i].start(), marks[i].end()))
+                        at = i
+                assert f.tag(text) == want
+
+
+def test_secret_windows_and_sample(spark, monkeypatch):
+    rng = random.Random(8)
+    many = " ".join(f"{prose(rng, 3)} token={hexes(rng, 30)}" for _ in range(50))
+    assert len(secrets.windows(many, True)) == 50  # each value, however many
+    tokens, tags, _ = secrets.tagged("token = \"" + "a1" * 35 + "\" x7q9z0 " + "Ab3" * 6)
+    assert tags[tokens.index("a1" * 35)] == secrets.BEGIN and tags[tokens.index("Ab3" * 6)] == secrets.UNKNOWN
+    assert secrets.own_features("a1" * 35) != secrets.own_features("a1" * 30 + "-" * 10)  # the whole token counts
+    trained = []
+    monkeypatch.setattr(secrets, "train", lambda sequences: trained.append(sequences) or secrets.Field({}, [[0.0] * 3] * 3))
+    docs = spark.createDataFrame([(i, f"the same token={'ab12' * 9} again") for i in range(100_000)] + [(i, f"{prose(rng, 5)} token={hexes(rng, 30)}") for i in range(40)], DOCS)
+    secrets.fit(docs)
+    assert 25 <= len(trained[0]) <= 41  # the text that stands a hundred thousand times is one
 
 
 def test_secrets_odd(spark, odd_docs):
