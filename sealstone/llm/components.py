@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import scratch
+from .common import drop_scratch, scratch
 
 
 def _state(edges: DataFrame) -> tuple:
@@ -40,7 +40,8 @@ def roots(edges: DataFrame) -> DataFrame:
     edges = scratch(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
     state = _state(edges)
     while state[0]:
-        edges = scratch(_star(_star(edges, True), False), "edges")
+        older, edges = edges, scratch(_star(_star(edges, True), False), "edges")
+        drop_scratch(older)
         before, state = state, _state(edges)
         if before == state:
             break

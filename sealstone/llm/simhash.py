@@ -4,17 +4,22 @@ A fingerprint has a bit for each bit position that is set in over half of the
 hashes of a text's 4-word shingles. Two texts are linked if at most RADIUS of
 64 bits differ, and a component holds all that links reach.
 
-Multi-index hashing: with S segments some segment of a linked pair differs in
-at most RADIUS // S bits. So each fingerprint is filed under its segments'
-values and looks up every value in the Hamming ball of that size around each
-of them; whole distances are checked on what it finds. Of two values that
-differ, just one has the lowest differing bit clear: only that side looks the
-other up. Wider segments serve larger tables: three of 21 bits while buckets
-hold few distinct fingerprints, else two of 32; either finds every pair.
-
-Equal fingerprints are one row from the start, so copies cost nothing. Inside
-a bucket pairs are checked in memory and large buckets pass on a spanning
-forest of their links, never all pairs.
+Multi-index hashing: a fingerprint is cut into segments, each with a radius of
+its own, so that the radii plus one add up to more than RADIUS. Of a linked pair
+some segment then differs in at most its radius. So each fingerprint is filed
+under its segments' values and looks up every value in the Hamming ball of the
+segment's radius around each of them; whole distances are checked on what it
+finds. Of two values that differ, just one has the lowest differing bit clear:
+only that side looks the other up. Wider segments serve larger tables: 21, 21
+and 22 bits with radii 1, 1 and 0 while buckets hold few distinct fingerprints,
+else 32 and 32 bits with radii 2 and 1; either finds every pair.
+
+Equal fingerprints are one row from the start, so copies cost nothing. Rows come
+sorted by bucket and are searched BATCH at a time, so memory does not follow the
+partition. Inside a bucket pairs are checked in memory and large buckets pass on
+a spanning forest of their links, never all pairs. A value that over HOT distinct
+fingerprints share is split: its bucket is searched by the same method on the
+bits of the other segments, which spreads it over many tasks.
 """
 
 from __future__ import annotations
@@ -25,7 +30,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import scratch, ship
+from .common import scratch, ship, unused
 from .components import roots
 
 RADIUS = 4
@@ -33,6 +38,12 @@ SHINGLE = 4
 SEED = 42
 #: Distinct fingerprints up to which three segments are used: 8 to a bucket on average.
 NARROW_UP_TO = 1 << 24
+#: (first bit, end, radius) of the segments of small and large tables.
+NARROW, WIDE = ((0, 21, 1), (21, 42, 1), (42, 64, 0)), ((0, 32, 2), (32, 64, 1))
+#: Fingerprints of one segment value beyond which its bucket is split by the other bits.
+HOT = 1 << 14
+#: Rows searched at once; a bucket is never parted.
+BATCH = 1 << 20
 #: Buckets of more fingerprints are searched breadth first, smaller ones pair by pair.
 SMALL = 24
 CHUNK = 1 << 15
@@ -80,21 +91,55 @@ def _ball(width: int, radius: int) -> list[int]:
     return [sum(1 << b for b in bits) for r in range(1, radius + 1) for bits in combinations(range(width), r)]
 
 
-def _segment(fp: Column, j: int, lo: int, hi: int, radius: int) -> Column:
-    value = F.shiftrightunsigned(fp, lo).bitwiseAND(F.lit((1 << (hi - lo)) - 1))
+def _value(fp: Column, lo: int, hi: int) -> Column:
+    return F.shiftrightunsigned(fp, lo).bitwiseAND(F.lit((1 << (hi - lo)) - 1))
 
-    def filed(key: Column, exact: bool) -> Column:
-        return F.struct(key.bitwiseOR(F.lit(j << 40)).alias("bucket"), F.lit(exact).alias("exact"))
 
-    masks = F.array(*(F.lit(m).cast("long") for m in _ball(hi - lo, radius)))
-    looked_up = F.filter(masks, lambda m: value.bitwiseAND(m.bitwiseAND(-m)) == 0)
-    return F.concat(F.array(filed(value, True)), F.transform(looked_up, lambda m: filed(value.bitwiseXOR(m), False)))
+def _filed(fp: Column, segments: tuple) -> Column:
+    """Array of (j, value, exact): where a fingerprint is filed and what it looks up."""
+    def segment(j: int, lo: int, hi: int, radius: int) -> Column:
+        own = F.struct(F.lit(j).alias("j"), _value(fp, lo, hi).alias("value"), F.lit(True).alias("exact"))
+        if not radius:
+            return F.array(own)
+        masks = F.array(*(F.lit(m).cast("long") for m in _ball(hi - lo, radius)))
+        looked_up = F.filter(masks, lambda m: _value(fp, lo, hi).bitwiseAND(m.bitwiseAND(-m)) == 0)
+        other = F.transform(looked_up, lambda m: F.struct(F.lit(j).alias("j"), _value(fp, lo, hi).bitwiseXOR(m).alias("value"), F.lit(False).alias("exact")))
+        return F.concat(F.array(own), other)
 
+    return F.concat(*(segment(j, *s) for j, s in enumerate(segments)))
 
-def _filed(fp: Column, segments: int) -> Column:
-    """Array of (bucket, exact): where a fingerprint is filed and what it looks up."""
-    cuts = [round(64 * j / segments) for j in range(segments + 1)]
-    return F.concat(*(_segment(fp, j, lo, hi, RADIUS // segments) for j, (lo, hi) in enumerate(zip(cuts, cuts[1:]))))
+
+def _rest(fp: Column, j: Column, segments: tuple) -> Column:
+    """The bits of a fingerprint without those of segment `j`, joined (at most 43 of them)."""
+    out = F.lit(None).cast("long")
+    for k, (lo, hi, _) in enumerate(segments):
+        low = _value(fp, 0, lo) if lo else F.lit(0).cast("long")
+        high = F.shiftleft(F.shiftrightunsigned(fp, hi), lo) if hi < 64 else F.lit(0).cast("long")
+        out = F.when(j == k, low.bitwiseOR(high)).otherwise(out)
+    return out
+
+
+def filed(distinct: DataFrame, segments: tuple) -> DataFrame:
+    """(bucket, fp, exact) of distinct fingerprints; buckets of hot values are split by the other bits.
+
+    Two fingerprints of a split bucket differ in at most RADIUS of the other
+    bits, so some third of these (radii 1, 1, 0) brings them together again.
+    """
+    rows = distinct.select("fp", F.explode(_filed(F.col("fp"), segments)).alias("x")).select("fp", "x.*")
+    bucket = F.col("value").bitwiseOR(F.shiftleft(F.col("j").cast("long"), 40))
+    own = F.array(*(F.struct(F.lit(j).alias("j"), _value(F.col("fp"), lo, hi).alias("value")) for j, (lo, hi, _) in enumerate(segments)))
+    counts = distinct.select(F.explode(own).alias("x")).groupBy("x.j", "x.value").agg(F.count("*").alias("n"))
+    hot = scratch(counts.where(F.col("n") > HOT).select("j", "value", F.lit(True).alias("hot")), "hot_buckets")
+    if hot.isEmpty():
+        return rows.select(bucket.alias("bucket"), "fp", "exact")
+    marked = rows.join(hot, ["j", "value"], "left")
+    cool = marked.where("hot IS NULL").select(F.xxhash64(bucket).alias("bucket"), "fp", "exact")
+    width = 64 - min(hi - lo for lo, hi, _ in segments)
+    cuts = [round(width * k / 3) for k in range(4)]
+    parts = tuple((lo, hi, r) for lo, hi, r in zip(cuts, cuts[1:], (1, 1, 0)))
+    split = marked.where("hot").select(bucket.alias("b"), "fp", F.explode(_filed(_rest(F.col("fp"), F.col("j"), segments), parts)).alias("x"))
+    # Hashed names may meet, which only adds candidates; every pair is checked whole.
+    return cool.unionAll(split.select(F.xxhash64("b", "x.j", "x.value").alias("bucket"), "fp", F.lit(True).alias("exact")))
 
 
 def links(bucket, fp, exact):
@@ -135,27 +180,40 @@ def links(bucket, fp, exact):
 
 
 def _search(batches: Iterator) -> Iterator:
+    """Links among rows (bucket, fp, exact) that come sorted by bucket."""
     import numpy as np
     import pyarrow as pa
 
-    got = [b for b in batches if b.num_rows]
-    if not got:
-        return
-    table = pa.Table.from_batches(got)
-    column = lambda name: table.column(name).to_numpy()
-    pairs = np.unique(np.sort(links(column("bucket"), column("fp").view(np.uint64), column("exact").astype(bool)), axis=1), axis=0).view(np.int64)
-    for at in range(0, len(pairs), 1 << 16):
-        part = pairs[at : at + (1 << 16)]
-        yield pa.RecordBatch.from_arrays([pa.array(part[:, 0].copy()), pa.array(part[:, 1].copy())], names=["u", "v"])
+    def found(parts: list) -> Iterator:
+        bucket, fp, exact = (np.concatenate(x) for x in zip(*parts))
+        pairs = np.unique(np.sort(links(bucket, fp.view(np.uint64), exact), axis=1), axis=0).view(np.int64)
+        for at in range(0, len(pairs), 1 << 16):
+            part = pairs[at : at + (1 << 16)]
+            yield pa.RecordBatch.from_arrays([pa.array(part[:, 0].copy()), pa.array(part[:, 1].copy())], names=["u", "v"])
+
+    held, size = [], 0
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        part = [batch.column(k).to_numpy(zero_copy_only=False) for k in range(3)]
+        held.append(part)
+        size += len(part[0])
+        cut = int(np.searchsorted(part[0], part[0][-1]))
+        if size >= BATCH and (cut or len(held) > 1 and held[-2][0][-1] != part[0][0]):  # a bucket ends in or before this batch
+            held[-1] = [x[:cut] for x in part]
+            yield from found(held)
+            held = [[x[cut:] for x in part]]
+            size = len(held[0][0])
+    if held:
+        yield from found(held)
 
 
 def classes(prints: DataFrame) -> DataFrame:
     """(fp, component_id) for each distinct fingerprint of (doc_id, fp)."""
     ship(prints.sparkSession)
     distinct = scratch(prints.groupBy("fp").agg(F.min("doc_id").alias("first")), "fingerprints")
-    segments = 3 if distinct.count() <= NARROW_UP_TO else 2
-    filed = distinct.select("fp", F.explode(_filed(F.col("fp"), segments)).alias("x")).select("x.bucket", "fp", "x.exact")
-    edges = filed.repartition("bucket").mapInArrow(_search, "u bigint, v bigint")
+    segments = NARROW if distinct.count() <= NARROW_UP_TO else WIDE
+    edges = filed(distinct, segments).repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_search, "u bigint, v bigint")
     reached = distinct.join(roots(edges).withColumnRenamed("u", "fp"), "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     least = reached.groupBy("root").agg(F.min("first").alias("component_id"))
     return reached.join(least, "root").select("fp", "component_id")
@@ -179,11 +237,13 @@ def keep_one(docs: DataFrame) -> DataFrame:
     """`docs` with one row of each group of near duplicates.
 
     The row of least doc_id stays (null ids last), of those the first. Rows
-    are numbered in a written table, so repeated rows differ.
+    are numbered in a written table, so repeated rows differ; an empty table
+    stays empty.
     """
-    numbered = scratch(docs.withColumn("__row__", F.monotonically_increasing_id()), "keep_one")
-    prints = scratch(fingerprints(numbered.select("doc_id", "text", "__row__")), "keep_one_fp")
+    row = unused("__row__", docs)
+    numbered = scratch(docs.withColumn(row, F.monotonically_increasing_id()), "keep_one")
+    prints = scratch(fingerprints(numbered.select("doc_id", "text", F.col(row).alias("__row__"))), "keep_one_fp")
     least = F.min(F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "__row__")).alias("b")
     groups = prints.join(classes(prints.select(F.col("__row__").alias("doc_id"), "fp")), "fp")
     chosen = groups.groupBy("component_id").agg(least)
-    return numbered.join(chosen.select(F.col("b.__row__").alias("__row__")), "__row__", "left_semi").drop("__row__")
+    return numbered.join(chosen.select(F.col("b.__row__").alias(row)), row, "left_semi").drop(row)
