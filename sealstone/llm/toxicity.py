@@ -13,7 +13,7 @@ that training did not see (Platt scaling), so that 0.7 means what it says.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -125,7 +125,10 @@ def fit(docs: DataFrame, labels: DataFrame) -> tuple[dict[int, float], float, tu
     """Train on the SAMPLE first rows by hash of those that may be learnt.
 
     Labels are narrow, so the sample is drawn from them; its size has a fixed
-    bound and it is broadcast, so no text is shuffled. A doc_id with two labels counts with the higher one.
+    bound and it is broadcast, so no text is shuffled. A doc_id with two labels
+    counts with the higher one; of rows that share a doc_id the one whose
+    features have the least hash is learnt, so SAMPLE rows reach the driver
+    however often an id repeats.
     """
     import numpy as np
 
@@ -135,22 +138,25 @@ def fit(docs: DataFrame, labels: DataFrame) -> tuple[dict[int, float], float, tu
 
     def hashed(batches: Iterator) -> Iterator:
         import pyarrow as pa
+        import xxhash
 
+        least: dict[int, tuple] = {}
         for batch in batches:
-            packed = [features(t or "").astype("<i4").tobytes() for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(packed, pa.binary()), batch.column(2).cast(pa.int32())], names=["doc_id", "x", "toxic"])
+            for i, text, toxic in zip(*(c.to_pylist() for c in batch.columns)):
+                x = features(text or "").astype("<i4").tobytes()
+                row = (xxhash.xxh128_digest(x), x, int(toxic > 0))
+                if i not in least or row < least[i]:
+                    least[i] = row
+        kept = [(i, *row) for i, row in least.items()]
+        for at in range(0, len(kept), 1000):
+            columns = zip(zip(*kept[at : at + 1000]), (pa.int64(), pa.binary(), pa.binary(), pa.int32()))
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in columns], names=["doc_id", "k", "x", "toxic"])
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(sample.select(F.col("doc_id").cast("long").alias("doc_id"), "toxic")), "doc_id")
-    rows = texts.select("doc_id", "text", "toxic").mapInArrow(hashed, "doc_id bigint, x binary, toxic int")
-    seen = set()
-    got = []
-    for r in rows.toLocalIterator():  # SAMPLE rows, fetched a partition at a time
-        x = np.frombuffer(bytes(r.x), "<i4").astype(np.int32)
-        key = (r.doc_id, x.tobytes()[:64], len(x))
-        if key not in seen:
-            seen.add(key)
-            got.append((_mixed(r.doc_id), r.doc_id, x, int(r.toxic > 0)))
-    got.sort(key=lambda r: (r[0], r[1], len(r[2])))
+    rows = texts.select("doc_id", "text", "toxic").mapInArrow(hashed, "doc_id bigint, k binary, x binary, toxic int")
+    rows = rows.groupBy("doc_id").agg(F.min(F.struct("k", "x", "toxic")).alias("r")).select("doc_id", "r.x", "r.toxic")
+    got = [(_mixed(r.doc_id), r.doc_id, np.frombuffer(bytes(r.x), "<i4").astype(np.int32), r.toxic) for r in rows.toLocalIterator()]
+    got.sort(key=lambda r: r[:2])
     return train([(x, y) for _, _, x, y in got])
 
 
@@ -160,6 +166,26 @@ def _mixed(doc_id: int) -> int:
     return xxhash.xxh64_intdigest(str(doc_id), 3)
 
 
+def _scorer(docs: DataFrame, labels: DataFrame):
+    """The learnt model as a function of a column of texts; executors get the few weights that L1 leaves."""
+    model = docs.sparkSession.sparkContext.broadcast(fit(docs.select("doc_id", "text"), labels.select("doc_id", "toxic")))  # at most 2**BITS weights
+
+    def scores() -> Callable:
+        import numpy as np
+
+        sparse, bias, (slope, offset) = model.value
+        w = np.zeros(1 << BITS, np.float32)
+        w[list(sparse)] = list(sparse.values())
+
+        def of(texts):
+            margins = np.array([w[features(t.as_py() or "")].sum(dtype=np.float64) + bias for t in texts])
+            return 1 / (1 + np.exp(-np.clip(slope * margins + offset, -60, 60)))
+
+        return of
+
+    return scores
+
+
 def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score, predicted: a row for each row of `docs`.
 
@@ -167,19 +193,15 @@ def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
     is not held out (it has no label either). Repeated rows keep a row each, an
     empty table gives none. Of `docs` only doc_id and text are read.
     """
-    weights, bias, (slope, offset) = fit(docs.select("doc_id", "text"), labels.select("doc_id", "toxic"))
-    model = docs.sparkSession.sparkContext.broadcast((weights, bias, slope, offset))  # at most 2**BITS weights, few after L1
+    scores = _scorer(docs, labels)
 
     def run(batches: Iterator) -> Iterator:
         import numpy as np
         import pyarrow as pa
 
-        sparse, bias, slope, offset = model.value
-        w = np.zeros(1 << BITS, np.float32)
-        w[list(sparse)] = list(sparse.values())
+        of = scores()
         for batch in batches:
-            margins = np.array([w[features(t.as_py() or "")].sum(dtype=np.float64) + bias for t in batch.column(1)])
-            p = 1 / (1 + np.exp(-np.clip(slope * margins + offset, -60, 60)))
+            p = of(batch.column(1))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0).cast(pa.int64()), batch.column(2), pa.array(p, pa.float64()), pa.array((p >= THRESHOLD).astype(np.int32))],
                 names=["doc_id", "held_out", "score", "predicted"],
@@ -189,21 +211,18 @@ def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """`docs` without the rows that `score` predicts to be toxic, all columns kept."""
-    weights, bias, (slope, offset) = fit(docs.select("doc_id", "text"), labels.select("doc_id", "toxic"))
-    model = docs.sparkSession.sparkContext.broadcast((weights, bias, slope, offset))
-    place = docs.columns.index("text")
+    """`docs` without the rows that `score` predicts to be toxic, all columns kept.
+
+    Rows of null or empty texts get the score of no features; repeated rows are
+    judged alike; an empty table stays empty.
+    """
+    scores, place = _scorer(docs, labels), docs.columns.index("text")
 
     def run(batches: Iterator) -> Iterator:
-        import numpy as np
         import pyarrow as pa
 
-        sparse, bias, slope, offset = model.value
-        w = np.zeros(1 << BITS, np.float32)
-        w[list(sparse)] = list(sparse.values())
+        of = scores()
         for batch in batches:
-            margins = np.array([w[features(t.as_py() or "")].sum(dtype=np.float64) + bias for t in batch.column(place)])
-            p = 1 / (1 + np.exp(-np.clip(slope * margins + offset, -60, 60)))
-            yield batch.filter(pa.array(p < THRESHOLD))
+            yield batch.filter(pa.array(of(batch.column(place)) < THRESHOLD))
 
     return docs.mapInArrow(run, docs.schema)
