@@ -9,11 +9,12 @@ It is trained here on positive and unlabelled tokens. The values that the rules
 find are positive, plain tokens are outside, and long tokens of letters and
 digits that no rule accepts are unlabelled: they may take any tag, so training
 sums over their tags (a field with partly known tags). Half of the positive
-windows are masked: the keyword before the value is taken out (and the value
-put in capitals or shortened), or the value is cut by symbols as a pass phrase
-would be, so that the field can't lean on what the rules look for. An offset of "outside" is then set on held-out masked
-windows: the highest that still finds RECALL of the values, and if under TARGET
-of what it tags there is positive, the field adds nothing.
+windows are masked: the keyword before the value is taken out, and the value is
+put in capitals or shortened in two of three, so that the field can't lean on
+what the rules look for. An offset of "outside" is then set on held-out masked
+windows: the one nearest to none that finds RECALL of the values (or as many as
+any offset does) while TARGET of what it tags is positive; if there is none, the
+field adds nothing.
 
 Training reads at most SAMPLE distinct texts of each sort (with and without a
 base match), the first by hash, and at most WINDOWS distinct windows of 2 *
@@ -32,11 +33,11 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 from itertools import groupby
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import scratch, ship
@@ -48,10 +49,12 @@ HEX = re.compile(r"[0-9a-f]+")
 HEXLIKE = re.compile(r"[0-9A-Fa-f]+")
 KEYWORDS = ("password", "passwd", "secret", "token", "api_key", "apikey")
 LEAST = {"assign": 6, "access": 20, "hex": 24}
-TOKEN = re.compile(r"\w+(?:[+/.=-]+\w+)*|[^\s\w]")
+TOKEN = re.compile(r"\w+(?:[+/.-]+\w+)*|[^\s\w]")
 WORD = re.compile(r"\S+")
 #: What no rule may have told about: letters and digits in one long token.
 UNLABELLED = re.compile(r"(?=.*[A-Za-z].*[A-Za-z])(?=.*[0-9].*[0-9])[A-Za-z0-9+/_=-]{12,}")
+#: What a secret could be taken for: tokens with digits, inner capitals or of great length.
+ODD = re.compile(r"[0-9]|[a-z][A-Z]|\w{16}")
 OUT, BEGIN, INSIDE = range(3)
 UNKNOWN = -1
 SAMPLE = 1_000
@@ -62,11 +65,13 @@ L2 = 0.0003
 RECALL, TARGET = 0.95, 0.9
 OFFSETS = [x / 2 for x in range(-6, 17)]
 #: A neighbour that pushes for a secret by more than this makes its surroundings worth decoding.
-QUIET = 0.4
+QUIET = 0.1
 #: Names of neighbours count as features if they occur so often in training.
 LEAST_SEEN = 8
-SYMBOLS = "#!@$%&*"
-CACHE_ENTRIES = 500_000
+#: Of the tokens beside a name, the share that must be secret for the name of a word to be a feature; symbols always are.
+TELLING = 0.5
+#: Words whose margins a worker keeps, and tokens whose scores it keeps.
+CACHE_WORDS, CACHE_TOKENS = 1_200_000, 150_000
 
 SCHEMA = "doc_id bigint, n_assign bigint, n_access bigint, n_hex bigint, base_sha256 string, spans string"
 
@@ -93,9 +98,13 @@ def base_spans(text: str, keyword: bool | None = None, words: list[str] | None =
 # --- features ------------------------------------------------------------------------------------
 
 
+RUN = re.compile(r"[A-Z]+|[a-z]+|[0-9]+|[^\x00-\x7f]+|[\x00-\x7f]")
+DIGIT = re.compile(r"[0-9]")
+
+
 def _shape(token: str) -> str:
     """Classes of characters in order of first sight, and how often they change (as a power of two)."""
-    marks = [k for k, _ in groupby("X" if "A" <= c <= "Z" else "x" if "a" <= c <= "z" else "9" if "0" <= c <= "9" else c if c < "\x80" else "w" for c in token)]
+    marks = ["X" if "A" <= c <= "Z" else "x" if "a" <= c <= "z" else "9" if "0" <= c <= "9" else c if c < "\x80" else "w" for c in (run[0] for run in RUN.findall(token))]
     return f"{''.join(dict.fromkeys(marks))}{len(marks).bit_length()}"
 
 
@@ -104,8 +113,8 @@ def _size(n: int) -> int:
 
 
 def own_features(token: str) -> list[str]:
-    digits, letters = sum(c.isdigit() for c in token), sum(c.isalpha() for c in token)
-    kinds = f"{digits > 0:d}{letters > 0:d}{any(c.isupper() for c in token):d}{any(c.islower() for c in token):d}"
+    digits, upper, lower = DIGIT.search(token) is not None, token != token.lower(), token != token.upper()
+    kinds = f"{digits:d}{upper or lower:d}{upper:d}{lower:d}"
     variety = round(4 * len(set(token)) / max(1, len(token)))
     out = ["bias", f"shape={_shape(token)}", f"size={_size(len(token))}", f"kinds={kinds}/{_size(len(token))}", f"variety={variety}/{_size(len(token))}"]
     if len(token) <= 12 and not digits:
@@ -116,7 +125,7 @@ def own_features(token: str) -> list[str]:
 
 
 def _name(token: str) -> str:
-    return token.lower() if len(token) <= 10 and not any(c.isdigit() for c in token) else _shape(token)
+    return token.lower() if len(token) <= 10 and not DIGIT.search(token) else _shape(token)
 
 
 PLACES = {"p1": -1, "p2": -2, "p3": -3, "n1": 1}
@@ -136,13 +145,13 @@ def file_features(text: str, keyword: bool | None = None) -> list[str]:
 class _Cache(dict):
     """What `work` gives for words, found at first sight; a bounded number of short ones is kept."""
 
-    def __init__(self, work):
+    def __init__(self, work, most: int):
         super().__init__()
-        self.work = work
+        self.work, self.most = work, most
 
     def __missing__(self, word: str):
         value = self.work(word)
-        if len(self) > CACHE_ENTRIES:
+        if len(self) > self.most:
             self.clear()
         if len(word) <= 40:
             self[word] = value
@@ -152,6 +161,9 @@ class _Cache(dict):
 # --- the field -----------------------------------------------------------------------------------
 
 
+NO_PUSHES = (0.0,) * len(PLACES), ((0.0, 0.0, 0.0),) * len(PLACES)
+
+
 class Field:
     """Weights of a linear-chain field with tags OUT, BEGIN, INSIDE."""
 
@@ -160,13 +172,14 @@ class Field:
         self._own: dict[str, list[float]] = {}
         self._forms: dict[tuple, list[float]] = {}
         #: How far every token of a white-space word is from any tag but OUT among quiet words, file features aside.
-        self.margins = _Cache(lambda word: min((self.tokens[t][0] for t in TOKEN.findall(word)), default=math.inf))
+        self.margins = _Cache(lambda word: min((self.tokens[t][0] for t in TOKEN.findall(word)), default=math.inf), CACHE_WORDS)
         #: Of a token: the same, -inf if it pushes its neighbours; its own lead; the push on the neighbour at each place; and their weights.
-        self.tokens = _Cache(self._token)
+        self.tokens = _Cache(self._token, CACHE_TOKENS)
         turns = [max(moves[a][y] + moves[y][b] - moves[a][OUT] - moves[OUT][b] for a in range(3) for b in range(3)) for y in (BEGIN, INSIDE)]
         ends = [max(max(moves[a][y] - moves[a][OUT], moves[y][a] - moves[OUT][a]) for a in range(3)) for y in (BEGIN, INSIDE)]
         #: The most that transitions can add to BEGIN and INSIDE.
         self.slack = [max(turns[k], ends[k], 0.0) for k in range(2)]
+        self.named = {name.partition("=")[2] for name in weights if name.partition("=")[0] in PLACES}
         self.edge = self._pushes("-")
 
     def score(self, names: list[str]) -> list[float]:
@@ -191,7 +204,7 @@ class Field:
                 return known
         known = self._own.get(token)
         if known is None:
-            if len(self._own) > CACHE_ENTRIES:
+            if len(self._own) > CACHE_TOKENS:
                 self._own.clear()
             known = self.score(own_features(token))
             if n <= 40:
@@ -199,6 +212,8 @@ class Field:
         return known
 
     def _pushes(self, name: str) -> tuple[tuple[float, ...], tuple]:
+        if name not in self.named:
+            return NO_PUSHES
         rows = tuple(self.weights.get(f"{place}={name}", (0.0, 0.0, 0.0)) for place in PLACES)
         return tuple(max(w[BEGIN], w[INSIDE]) - w[OUT] for w in rows), rows
 
@@ -286,25 +301,19 @@ def _mark(*parts) -> int:
 
 
 def _masked(tokens: list[str], tags: list[int], at: int, head: int, by: int) -> tuple[list[str], list[int], int]:
-    """Tokens and tags with the value at `at` masked: without what stands before it in its assignment
-    (as it is, in capitals, or half of it), or cut by symbols."""
-    if by % 4 < 3:
-        value = tokens[at]
-        value = value if by % 4 == 0 else value.upper() if by % 4 == 1 else value[: max(12, len(value) // 2)]
-        return tokens[:head] + [value] + tokens[at + 1 :], tags[:head] + tags[at:], head
-    value, parts = tokens[at], []
-    while value:
-        size = 1 + (by := _mark(by, value)) % 5
-        parts += [value[:size], SYMBOLS[by % len(SYMBOLS)]]
-        value = value[size:]
-    parts = parts[:13] if len(parts) > 13 else parts[:-1]
-    return tokens[:at] + parts + tokens[at + 1 :], tags[:at] + [BEGIN] + [INSIDE] * (len(parts) - 1) + tags[at + 1 :], at
+    """Tokens and tags without what stands before the value at `at` in its assignment; the value as it is, in capitals, or half of it."""
+    value = (tokens[at], tokens[at].upper(), tokens[at][: max(12, len(tokens[at]) // 2)])[by % 3]
+    return tokens[:head] + [value] + tokens[at + 1 :], tags[:head] + tags[at:], head
 
 
 def centres(text: str, positive: bool) -> Iterator[tuple[int, bool, list[str], list[int], int]]:
-    """(hash, masked, tokens, tags, place of the centre) of the stretches around a text's values, or around two tokens chosen by hash."""
+    """(hash, masked, tokens, tags, place of the centre) of the stretches around a text's values, or around two tokens chosen by hash, one of them ODD."""
     tokens, tags, heads = tagged(text)
-    chosen = (i for i, t in enumerate(tags) if t == BEGIN) if positive else sorted({_mark(j, text) % len(tokens) for j in range(2)}) if tokens else ()
+    if positive:
+        chosen = [i for i, t in enumerate(tags) if t == BEGIN]
+    else:
+        odd = [i for i, t in enumerate(tokens) if ODD.search(t)]
+        chosen = sorted({some[_mark(j, text) % len(some)] for j, some in enumerate((range(len(tokens)), odd)) if some})
     for c in chosen:
         lo, hi = max(0, c - 2 * WINDOW), min(len(tokens), c + 2 * WINDOW)
         near, tag, at = tokens[lo:hi], tags[lo:hi], c - lo
@@ -359,13 +368,20 @@ def train(sequences: list[tuple[list[str], list[int]]]) -> Field:
     """
     import numpy as np
 
-    seen: dict[str, int] = {}
-    for rows, _ in sequences:
-        for row in rows:
-            for name in row.split("\t"):
-                seen[name] = seen.get(name, 0) + 1
-    often = (name for name in sorted(seen) if seen[name] >= (LEAST_SEEN if name.split("=")[0] in PLACES else 2))
-    names = {name: i for i, name in enumerate(often)}
+    seen, secret = Counter(), Counter()
+    for rows, tags in sequences:
+        for row, tag in zip(rows, tags):
+            seen.update(row.split("\t"))
+            if tag > OUT:
+                secret.update(row.split("\t"))
+
+    def counts(name: str) -> bool:
+        place, _, value = name.partition("=")
+        if place not in PLACES:
+            return seen[name] > 1
+        return seen[name] >= LEAST_SEEN and (not value.isalnum() or secret[name] >= TELLING * seen[name])
+
+    names = {name: i for i, name in enumerate(filter(counts, sorted(seen)))}
     n, length = len(sequences), max((len(tags) for _, tags in sequences), default=1)
     pad = len(names)
     width = max((row.count("\t") + 1 for rows, _ in sequences for row in rows), default=1)
@@ -407,7 +423,7 @@ def calibrated(field: Field, held: list[tuple[list[str], list[int]]]) -> tuple[F
     scores = [([field.score(row.split("\t")) for row in rows], tags) for rows, tags in held]
     if not sum(BEGIN in tags for _, tags in held):
         return field, {}
-    best = None
+    reached = []
     for offset in OFFSETS:
         found = values = right = wrong = 0
         for rows, tags in scores:
@@ -416,12 +432,13 @@ def calibrated(field: Field, held: list[tuple[list[str], list[int]]]) -> tuple[F
             found += sum(t == BEGIN and g != OUT for t, g in zip(tags, got))
             right += sum(t > OUT and g != OUT for t, g in zip(tags, got))
             wrong += sum(t == OUT and g != OUT for t, g in zip(tags, got))
-        if best is None or found >= RECALL * values:
-            best = {"offset": offset, "recall": found / values, "precision": right / max(1, right + wrong), "windows": len(held)}
-    offset = best["offset"] if best["precision"] >= TARGET else 1e4
+        reached.append({"offset": offset, "recall": found / values, "precision": right / max(1, right + wrong), "windows": len(held)})
+    most = max(r["recall"] for r in reached)
+    good = [r for r in reached if r["recall"] >= min(RECALL, most) and r["precision"] >= TARGET]
+    best = min(good, key=lambda r: (abs(r["offset"]), r["offset"])) if good else {"offset": 1e4, "recall": 0.0, "precision": 0.0, "windows": len(held)}
     weights = dict(field.weights)
     bias = weights.get("bias", (0.0, 0.0, 0.0))
-    weights["bias"] = (bias[0] + offset, bias[1], bias[2])
+    weights["bias"] = (bias[0] + best["offset"], bias[1], bias[2])
     return Field(weights, field.moves), best
 
 
@@ -438,10 +455,9 @@ def fit(docs: DataFrame) -> Field:
     ship(docs.sparkSession)
     h = F.xxhash64("text", F.lit("sample")).alias("h")
     texts = docs.where(F.col("text").isNotNull())
-    distinct = texts.select(h, F.lower("text").rlike(ROUGH).alias("hit")).groupBy("h").agg(F.max("hit").alias("hit"))
-    place = F.row_number().over(W.partitionBy("hit").orderBy("h"))
-    chosen = distinct.withColumn("place", place).where(F.col("place") <= SAMPLE).select("h", "hit")
-    chosen = docs.sparkSession.createDataFrame([tuple(r) for r in chosen.collect()], "h bigint, hit boolean")  # 2 * SAMPLE rows at most
+    distinct = scratch(texts.select(h, F.lower("text").rlike(ROUGH).alias("hit")).groupBy("h").agg(F.max("hit").alias("hit")), "secret_texts")
+    first = [r for hit in (True, False) for r in distinct.where(F.col("hit") == hit).orderBy("h").limit(SAMPLE).collect()]
+    chosen = docs.sparkSession.createDataFrame([tuple(r) for r in first], "h bigint, hit boolean")  # 2 * SAMPLE rows at most
 
     def cut(batches: Iterator) -> Iterator:
         import heapq

@@ -48,3 +48,18 @@ def test_stages(spark):
     assert set(tokens) == want
     run = corpus_pipeline.run(spark, DATA)
     assert {tuple(r) for r in run.collect()} == set(tokens)
+
+
+def test_odd_and_empty_tables(spark, tmp_path, odd_docs):
+    """The whole pipeline on nulls, empty and repeated rows and clashing columns, and on no rows at all; nothing but the last results' tables stays."""
+    from sealstone.llm import common
+
+    for name, docs in (("odd", odd_docs), ("none", odd_docs.limit(0))):
+        folder = str(tmp_path / name)
+        docs.write.parquet(f"{folder}/documents.parquet")
+        spark.createDataFrame([(4, 1, 1), (None, None, None), (5, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+        spark.createDataFrame([(1, "Ünï ćödé 漢字 😀 text"), (2, None)], "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+        kept = {r.doc_id for r in corpus_pipeline.run(spark, folder).collect()}
+        assert kept == ({1, 4, 5, None} if name == "odd" else set())
+        stages = [p.rsplit("/", 1)[1] for p in common._WRITTEN if "/pipeline-" in p]
+        assert sum(p.startswith("pipeline-pii") for p in stages) >= 1 and not any(p.startswith(("pipeline-toxicity", "pipeline-simhash")) for p in stages)
