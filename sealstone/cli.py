@@ -73,9 +73,9 @@ def main(argv: list[str] | None = None) -> int:
         number = F.when(F.lower("raw") == "true", 1.0).when(F.lower("raw") == "false", 0.0).otherwise(F.col("raw").try_cast("double"))
         numeric = pairs.select("id", "feature", number.alias("value")).where("value IS NOT NULL")
         texts = pairs.where(number.isNull()).select("id", F.col("feature").alias("name"), F.col("raw").alias("value"))
-        model = scores.fit_logistic(numeric.unionByName(scores.onehot(texts)), rows.select("id", "label"))
+        model = scores.report(numeric.unionByName(scores.onehot(texts)), rows.select("id", "label"))
         scores.save_model(model, args.out)
-        print(json.dumps({"features": len(model["features"]), "rows": model["rows"], "positives": model["positives"]}))
+        print(json.dumps({"features": len(model["features"]), **{k: model[k] for k in ("rows", "positives", "holdout", "threshold", "top")}}))
     return 0
 
 

@@ -8,11 +8,7 @@ from pyspark.sql import functions as F
 
 def bits_to_long(bits: Column, n: int) -> Column:
     """The first `n` (up to 64) booleans as one long, first bit highest."""
-    parts = [F.when(F.get(bits, F.lit(i)), F.lit(1 << (n - 1 - i) if n - 1 - i < 63 else -(1 << 63))).otherwise(F.lit(0)).cast("long") for i in range(n)]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.bitwiseOR(p)
-    return out
+    return F.aggregate(F.slice(bits, 1, n), F.lit(0).cast("long"), lambda word, b: F.shiftleft(word, 1).bitwiseOR(F.coalesce(b, F.lit(False)).cast("long")))
 
 
 def to_hex(word: Column, digits: int = 16) -> Column:

@@ -1,39 +1,55 @@
 """Text functions: normalisation, dates, money, field kinds and field matching.
 
-Everything is a column expression but the fuzzy ratios and full compatibility
-decomposition, for which Spark has no operator; those are Arrow-batched.
+Everything is a column expression but the fuzzy ratios, for which Spark has no
+operator; those are Arrow-batched. An expression that uses a cleaned text more
+than once binds it first (`let`), or it would be worked out again at each use.
 """
 
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Accented Latin letters and their bare forms, by rule: one letter plus marks under compatibility decomposition.
-_PAIRS = [
-    (chr(c), base[0])
-    for c in range(0xC0, 0x250)
-    for base in ["".join(x for x in unicodedata.normalize("NFKD", chr(c)) if not unicodedata.combining(x))]
-    if len(base) == 1 and base != chr(c)
-]
-ACCENTED, BARE = ("".join(x) for x in zip(*_PAIRS))
+
+def _bare(c: int) -> str:
+    return "".join(x for x in unicodedata.normalize("NFKD", chr(c)) if not unicodedata.combining(x))
+
+
+#: All letters of the Latin blocks, Latin ligatures and full-width forms whose compatibility decomposition, without marks, is something else.
+_FOLDED = {chr(c): _bare(c) for lo, hi in ((0xC0, 0x250), (0x1E00, 0x1F00), (0x2C60, 0x2C80), (0xA720, 0xA800), (0xFB00, 0xFB07), (0xFF01, 0xFF5F)) for c in range(lo, hi) if _bare(c) not in ("", chr(c))}
+ACCENTED, BARE = ("".join(x) for x in zip(*((k, v) for k, v in _FOLDED.items() if len(v) == 1)))
+#: Those that unfold to several letters; few texts have any.
+LIGATURES = {k: v for k, v in _FOLDED.items() if len(v) > 1}
 MARKS = "[\\u0300-\\u036f]+"
 
 # Portuguese month names and abbreviations, look-alike characters of codes.
 MONTHS = {
-    "janeiro": 1, "jan": 1, "fevereiro": 2, "fev": 2, "marco": 3, "mar": 3, "abril": 4, "abr": 4, "maio": 5, "mai": 5, "junho": 6, "jun": 6,
-    "julho": 7, "jul": 7, "agosto": 8, "ago": 8, "setembro": 9, "set": 9, "outubro": 10, "out": 10, "novembro": 11, "nov": 11, "dezembro": 12, "dez": 12,
-}
+    "jan": 1, "janeiro": 1,
+    "fev": 2, "fevereiro": 2,
+    "mar": 3, "marco": 3,
+    "abr": 4, "abril": 4,
+    "mai": 5, "maio": 5,
+    "jun": 6, "junho": 6,
+    "jul": 7, "julho": 7,
+    "ago": 8, "agosto": 8,
+    "set": 9, "setembro": 9,
+    "out": 10, "outubro": 10,
+    "nov": 11, "novembro": 11,
+    "dez": 12, "dezembro": 12,
+}
 LOOKALIKES, DIGITS = "OQIL|ZSB", "00111258"
 
 # The forms of dates, amounts and digit-like tokens.
 ISO_DATE = r"(?<!\d)(\d{4})[/.\-](\d{1,2})[/.\-](\d{1,2})(?!\d)"
 NUMERIC_DATE = r"(?<!\d)(\d{1,2})[/.\-](\d{1,2})[/.\-](\d{2,4})(?!\d)"
 WRITTEN_DATE = r"(?<!\d)(\d{1,2})\s*(?:de\s+)?([a-z]{3,9})\.?\s*(?:de\s+)?(\d{2,4})(?!\d)"
+TIMESTAMP = r"(\d{4})-(1[0-2]|0?[1-9])-(3[01]|[12]\d|0?[1-9])(?:t|\s+)(?:2[0-3]|[01]?\d):[0-5]?\d:(?:6[01]|[0-5]?\d)"
+DAY_AND_TIME = r"(3[01]|[12]\d|0?[1-9])/(1[0-2]|0?[1-9])/(\d{4})\s+(?:2[0-3]|[01]?\d):[0-5]?\d"
 MONEY = r"(?:r\$\s*)?(?<![\d,])(\d{1,3}(?:\.\d{3})+|\d+)(?:,(\d{2}))?(?!\d|\.\d)"
 DIGIT_LIKE = r"[0-9OoIl|][0-9OoIl|/.,:\-]*[0-9OoIl|]"
 KIND_NAMES = (
@@ -49,15 +65,20 @@ KIND_FORMS = (
 )
 
 
-def strip_accents(c: Column) -> Column:
-    """Latin letters without accents and no combining marks; `ß` and `œ` stay. No Python worker."""
-    return F.regexp_replace(F.translate(c, ACCENTED, BARE), MARKS, "")
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """`body` over `value`, with `value` evaluated once a row."""
+    return F.transform(F.array(value), body)[0]
+
 
+def strip_accents(c: Column) -> Column:
+    """Letters of the Latin blocks without accents, ligatures unfolded, and no combining marks; `ß` and `œ` stay. No Python worker."""
+    def unfolded(t: Column) -> Column:
+        for k, v in LIGATURES.items():
+            t = F.replace(t, F.lit(k), F.lit(v))
+        return t
 
-@F.pandas_udf(T.StringType())
-def strip_accents_full(s: pd.Series) -> pd.Series:
-    """Compatibility decomposition without marks, for any script (ligatures unfold too)."""
-    return s.map(lambda t: None if t is None else "".join(x for x in unicodedata.normalize("NFKD", t) if not unicodedata.combining(x)))
+    folded = F.regexp_replace(F.translate(c, ACCENTED, BARE), MARKS, "")
+    return F.when(folded.rlike(f"[{''.join(LIGATURES)}]"), unfolded(folded)).otherwise(folded)
 
 
 def normalize_text(c: Column) -> Column:
@@ -97,7 +118,8 @@ def fix_digit_confusions(c: Column) -> Column:
 
 
 def _date(y: Column, m: Column, d: Column) -> Column:
-    year = F.when(F.length(y) == 2, y.cast("int") + 2000).otherwise(y.cast("int"))
+    """Date of a year, month and day in digits; years under 100 are of this century, however many digits they have."""
+    year = F.when(y.try_cast("int") < 100, y.try_cast("int") + 2000).otherwise(y.try_cast("int"))
     return F.try_to_date(F.concat_ws("-", F.lpad(year.cast("string"), 4, "0"), F.lpad(m.cast("string"), 2, "0"), F.lpad(d, 2, "0")), "yyyy-MM-dd")
 
 
@@ -117,21 +139,26 @@ def _found(c: Column, pattern: str, order: tuple[int, int, int], named: bool = F
 
 def find_dates(c: Column) -> Column:
     """All valid dates: ISO ones first, then day/month/year, then written ones; each in text order."""
-    plain = fix_digit_confusions(F.lower(strip_accents(c)))
-    return F.concat(_found(plain, ISO_DATE, (1, 2, 3)), _found(plain, NUMERIC_DATE, (3, 2, 1)), _found(plain, WRITTEN_DATE, (3, 2, 1), named=True))
+    def found(plain: Column) -> Column:
+        return F.concat(_found(plain, ISO_DATE, (1, 2, 3)), _found(plain, NUMERIC_DATE, (3, 2, 1)), _found(plain, WRITTEN_DATE, (3, 2, 1), named=True))
+
+    return let(fix_digit_confusions(F.lower(strip_accents(c))), found)
 
 
 def parse_date(c: Column) -> Column:
-    return F.get(find_dates(c), F.lit(0))
+    """Date of a text that is one as a whole, in any of the forms that `find_dates` knows or as a timestamp; else null."""
+    def parsed(t: Column) -> Column:
+        def whole(pattern: str, order: tuple[int, int, int], named: bool = False) -> Column:
+            y, m, d = (F.regexp_extract(t, rf"\A(?:{pattern})\z", k) for k in order)
+            return F.when(d != "", _date(y, _month(m) if named else m, d))
 
+        return F.coalesce(whole(ISO_DATE, (1, 2, 3)), whole(NUMERIC_DATE, (3, 2, 1)), whole(WRITTEN_DATE, (3, 2, 1), True), whole(TIMESTAMP, (1, 2, 3)), whole(DAY_AND_TIME, (3, 2, 1)))
 
-def parse_money(c: Column) -> Column:
-    """Decimal of a Brazilian or plain amount; null where the text is none.
+    return let(F.regexp_replace(fix_digit_confusions(F.lower(strip_accents(c))), r"\A\s+|\s+\z", ""), parsed)
 
-    Of two kinds of separators the last is the decimal one; a lone comma is
-    decimal; a lone dot is decimal only once and before two digits.
-    """
-    t = F.regexp_replace(F.lower(fix_digit_confusions(strip_accents(c))), r"r\$| ", "")
+
+def _amount(t: Column) -> Column:
+    """Decimal of a clean amount (digits, dots and commas); null where the text is none."""
     comma, dot = F.instr(t, ","), F.instr(t, ".")
     last_comma = F.length(t) - F.instr(F.reverse(t), ",")
     last_dot = F.length(t) - F.instr(F.reverse(t), ".")
@@ -140,26 +167,46 @@ def parse_money(c: Column) -> Column:
     last_of_commas = F.replace(F.call_function("substring_index", t, F.lit(","), F.regexp_count(t, F.lit(",")).cast("int")), F.lit(","), F.lit(""))
     commas = F.concat(last_of_commas, F.lit("."), F.substring_index(t, ",", -1))
     plain = F.when((comma > 0) & (dot > 0), two).when(comma > 0, commas).when(dot > 0, one_dot).otherwise(t)
-    return F.when(t.rlike(r"^[\d.,]*\d[\d.,]*$") & plain.rlike(r"^\d*(\.\d{1,2})?$"), plain.try_cast("decimal(18,2)"))
+    return let(plain, lambda p: F.when(t.rlike(r"^[\d.,]*\d[\d.,]*$") & p.rlike(r"^\d*(\.\d{1,2})?$"), p.try_cast("decimal(18,2)")))
+
+
+def _unsigned(t: Column) -> Column:
+    return F.replace(F.replace(t, F.lit("r$"), F.lit("")), F.lit(" "), F.lit(""))
+
+
+def parse_money(c: Column) -> Column:
+    """Decimal of a Brazilian or plain amount; null where the text is none.
+
+    Of two kinds of separators the last is the decimal one; a lone comma is
+    decimal; a lone dot is decimal only once and before two digits.
+    """
+    return let(_unsigned(F.lower(fix_digit_confusions(strip_accents(c)))), _amount)
 
 
 def find_money(c: Column) -> Column:
-    """Amounts in a text; bare whole numbers without R$, cents or thousands mark are none."""
-    plain = F.lower(fix_digit_confusions(strip_accents(c)))
-    hits = F.filter(F.regexp_extract_all(plain, F.lit(MONEY), F.lit(0)), lambda x: ~x.rlike(r"^\d+$"))
-    return F.filter(F.transform(hits, parse_money), lambda x: x.isNotNull())
+    """Amounts in a text; bare whole numbers without R$, cents or thousands mark are none, and neither is zero."""
+    def found(plain: Column) -> Column:
+        hits = F.filter(F.regexp_extract_all(plain, F.lit(MONEY), F.lit(0)), lambda x: ~x.rlike(r"^\d+$"))
+        return F.filter(F.transform(F.transform(hits, _unsigned), _amount), lambda x: x != 0)
+
+    return let(F.lower(fix_digit_confusions(strip_accents(c))), found)
 
 
 def infer_kind(name: Column, value: Column) -> Column:
     """date, money, code, number or text: from parts of the field's name, else from the value's form."""
-    n, v = normalize_text(name), F.trim(value)
-    kind = F.lit("text")
-    for k, form in reversed(KIND_FORMS):
-        kind = F.when(v.rlike(form), k).otherwise(kind)
-    kind = F.when(parse_date(value).isNotNull(), "date").otherwise(kind)
-    for k, parts in reversed(KIND_NAMES):
-        kind = F.when(n.rlike("|".join(parts)), k).otherwise(kind)
-    return kind
+    def by_form(v: Column) -> Column:
+        kind = F.lit("text")
+        for k, form in reversed(KIND_FORMS):
+            kind = F.when(v.rlike(form), k).otherwise(kind)
+        return F.when(parse_date(v).isNotNull(), "date").otherwise(kind)
+
+    def by_name(n: Column) -> Column:
+        kind = F.lit(None).cast("string")
+        for k, parts in reversed(KIND_NAMES):
+            kind = F.when(n.rlike("|".join(parts)), k).otherwise(kind)
+        return kind
+
+    return F.coalesce(let(normalize_text(name), by_name), let(F.regexp_replace(value, r"\A\s+|\s+\z", ""), by_form))
 
 
 # --- fuzzy ratios (Arrow batches) ----------------------------------------------------------------

@@ -68,50 +68,74 @@ def image_rules(config: Config = DEFAULT) -> list[Rule]:
     """The full rule table over the columns that the image operators make (see `imaging.features`)."""
     c = F.col
     jpeg = c("format") == "jpeg"
+    ela = F.format_string("Erro médio %.2f; percentil 95 %.2f.", c("ela_mean"), c("ela_p95"))
+    save = F.format_string("Qualidade anterior %d; cobertura %.2f.", c("ghost_quality"), c("ghost_coverage"))
     return [
-        Rule("blur", 10, "baixo", c("blur_variance") < config.blur_warn_variance, F.format_string("%.2f", c("blur_variance"))),
-        Rule("resolution", 8, "baixo", (c("width") < config.min_width) | (c("height") < config.min_height), F.concat_ws("x", c("width").cast("string"), c("height").cast("string"))),
+        Rule("blur", 10, "baixo", c("blur_variance") < config.blur_warn_variance, F.format_string("Variância do Laplaciano: %.2f.", c("blur_variance"))),
+        Rule("resolution", 8, "baixo", (c("width") < config.min_width) | (c("height") < config.min_height), F.format_string("%dx%d pixels.", c("width"), c("height"))),
         Rule("editing_software", 25, "alto", c("software_kind") == "editor", c("software")),
         Rule("unknown_software", 6, "baixo", c("software_kind") == "unknown", c("software")),
         Rule("no_exif", 5, "baixo", jpeg & (c("exif_tags") == 0)),
         Rule("nonstandard_quantization", 4, "baixo", jpeg & ~c("jpeg_standard_tables")),
-        Rule("exif_date_mismatch", 20, "médio", c("capture_gap_days") > config.exif_date_tolerance_days, c("capture_gap_days")),
+        Rule("exif_date_mismatch", 20, "médio", c("capture_gap_days") > config.exif_date_tolerance_days, F.format_string("Captura a %d dia(s) da data esperada.", c("capture_gap_days"))),
         Rule("exif_date_future", 10, "baixo", c("capture_future")),
-        Rule("exif_modified_later", 10, "baixo", c("modified_after_capture_minutes") > config.exif_modified_gap_minutes, c("modified_after_capture_minutes")),
-        Rule("ela_high", 30, "alto", c("ela_mean") >= config.ela_high, c("ela_mean")),
-        Rule("ela_warn", 15, "médio", (c("ela_mean") >= config.ela_warn) & (c("ela_mean") < config.ela_high), c("ela_mean")),
-        Rule("ghost_local", 30, "alto", (F.size("ghost_regions") > 0) & (c("ghost_coverage") <= config.ghost_max_coverage), region=F.get("ghost_regions", F.lit(0))),
-        Rule("ghost_global", 8, "baixo", (F.size("ghost_regions") > 0) & (c("ghost_coverage") > config.ghost_max_coverage)),
+        Rule("exif_modified_later", 10, "baixo", c("modified_after_capture_minutes") > config.exif_modified_gap_minutes, F.format_string("Gravado %.1f minutos depois da captura.", c("modified_after_capture_minutes"))),
+        Rule("ela_high", 30, "alto", c("ela_mean") >= config.ela_high, ela),
+        Rule("ela_warn", 15, "médio", (c("ela_mean") >= config.ela_warn) & (c("ela_mean") < config.ela_high), ela),
+        Rule("ghost_local", 30, "alto", (F.size("ghost_regions") > 0) & (c("ghost_coverage") <= config.ghost_max_coverage), save, region=F.get("ghost_regions", F.lit(0))),
+        Rule("ghost_global", 8, "baixo", (F.size("ghost_regions") > 0) & (c("ghost_coverage") > config.ghost_max_coverage), save),
         Rule("copy_move", 30, "alto", c("copy_move_region").isNotNull(), region=c("copy_move_region")),
         Rule("exact_duplicate", 45, "alto", c("exact_duplicate")),
-        Rule("near_duplicate", 35, "alto", ~c("exact_duplicate") & (c("nearest_distance") <= config.max_phash), c("nearest_distance")),
+        Rule("near_duplicate", 35, "alto", ~c("exact_duplicate") & (c("nearest_distance") <= config.max_phash), F.format_string("Distância perceptual %d.", c("nearest_distance"))),
     ]
 
 
-def field_rules(fields: list[str], prefix: str = "field_", missing: bool = True) -> list[Rule]:
-    """Conflict (18, alto) and, unless told otherwise, not-located (8, baixo) findings of field matches.
+def field_finding(match: Column, seen_only: bool = False) -> Column:
+    """Finding of one checked field, a struct as `text.match_fields` makes it (with `value`, what was expected); null if it matched.
 
-    Each field has a struct column `match_<field>` as text.match_field makes it.
+    A conflicting value counts more than one that is not there. With `seen_only`
+    the body is a value read for this very field, so any mismatch is a conflict
+    and an empty body none.
     """
-    rules = []
-    for f in fields:
-        m = F.col(f"match_{f}")
-        rules.append(Rule(f"{prefix}{f}", 18, "alto", ~m["matched"] & m["conflict"], m["found"]))
-        if missing:
-            rules.append(Rule(f"{prefix}{f}", 8, "baixo", ~m["matched"] & ~m["conflict"]))
-    return rules
-
-
-def plugin_rules(config: Config = DEFAULT) -> list[Rule]:
-    """Findings of text recognition, layout and outside models; their columns are null where a plug-in is off."""
+    conflict = F.lit(True) if seen_only else match["conflict"]
+    prefix = "vlm_field_" if seen_only else "field_"
+    made = F.struct(
+        F.concat(F.lit(prefix), match["field"]).alias("code"),
+        F.concat(F.when(conflict, "Campo divergente: ").otherwise("Campo esperado não localizado: "), match["field"]).alias("label"),
+        F.when(conflict, 18).otherwise(8).alias("points"),
+        F.when(conflict, F.format_string("Esperado '%s'; lido '%s' (%s).", match["value"], F.coalesce(match["found"], F.lit("")), match["kind"]))
+        .otherwise(F.format_string("'%s' não foi encontrado; melhor semelhança %.0f%%.", match["value"], match["score"])).alias("evidence"),
+        F.when(conflict, "alto").otherwise("baixo").alias("severity"), F.lit(None).alias("region"),
+    )
+    return F.when(~match["matched"], made.cast(FINDING))
+
+
+def ocr_rules(config: Config = DEFAULT) -> list[Rule]:
     c = F.col
     return [
         Rule("ocr_unavailable", 0, "baixo", c("ocr_warning").isNotNull(), c("ocr_warning")),
-        Rule("ocr_empty", 5, "baixo", c("ocr_warning").isNull() & (F.length(F.trim(c("ocr_text"))) < config.ocr_min_chars)),
-        Rule("typography_inconsistent", 10, "médio", c("typography_outliers") >= 1, region=c("typography_worst")),
-        Rule("deep_manipulation", 30, "alto", c("deep_score") >= 0.8, c("deep_score")),
-        Rule("deep_suspect", 12, "médio", (c("deep_score") >= 0.5) & (c("deep_score") < 0.8), c("deep_score")),
-        Rule("vlm_unavailable", 0, "baixo", c("vlm_error").isNotNull(), c("vlm_error")),
-        Rule("vlm_edit_signs", 12, "médio", F.size(F.filter("vlm_edit_signs", lambda s: F.trim(s) != "")) > 0, F.array_join(F.slice("vlm_edit_signs", 1, 4), "; ")),
-        Rule("vlm_no_signature", 5, "baixo", c("vlm_require_signature") & ~c("vlm_has_signature")),
+        Rule("ocr_empty", 5, "baixo", c("ocr_warning").isNull() & (F.length(F.coalesce(c("ocr_text"), F.lit(""))) < config.ocr_min_chars)),
+    ]
+
+
+def typography_rules(config: Config = DEFAULT) -> list[Rule]:
+    evidence = F.format_string("%d palavra(s) fora do padrão da linha; maior desvio %.2f.", F.col("typography_outliers"), F.col("typography_max_dev"))
+    return [Rule("typography_inconsistent", 10, "médio", F.col("typography_outliers") >= 1, evidence, region=F.col("typography_worst"))]
+
+
+def deep_rules(config: Config = DEFAULT) -> list[Rule]:
+    score, region = F.col("deep_score"), F.get("deep_regions", F.lit(0))
+    evidence = F.format_string("Probabilidade de manipulação: %.2f.", score)
+    return [
+        Rule("deep_manipulation", 30, "alto", score >= config.deep_high, evidence, region=region),
+        Rule("deep_suspect", 12, "médio", (score >= config.deep_warn) & (score < config.deep_high), evidence, region=region),
+    ]
+
+
+def vlm_rules(config: Config = DEFAULT) -> tuple[list[Rule], list[Rule]]:
+    """Rules before and after the findings of the fields that a vision model read; its columns are null where it is off."""
+    signs = F.filter("vlm_edit_signs", lambda s: F.trim(s) != "")
+    return [Rule("vlm_unavailable", 0, "baixo", F.col("vlm_error").isNotNull(), F.col("vlm_error"))], [
+        Rule("vlm_edit_signs", 12, "médio", F.size(signs) > 0, F.array_join(F.slice(signs, 1, 4), "; ")),
+        Rule("vlm_no_signature", 5, "baixo", F.lit(config.vlm_require_signature) & ~F.col("vlm_has_signature")),
     ]

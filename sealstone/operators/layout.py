@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 
 from ..config import DEFAULT, Config
 
-DESCENDERS, ASCENDERS = "gjpqyç", "bdfhklt"
+# Lower case letters below the base line, and up to capital height.
+DESCENDERS = "gjpqy"
+ASCENDERS = "bdfhklt"
 
 
 def comparable(text: Column) -> Column:
@@ -76,11 +78,24 @@ def shift_clusters(pairs: DataFrame, key: str, config: Config = DEFAULT) -> Data
     return bins.join(sums, [key, "bx", "by"]).where(F.col("support") >= config.copy_min_matches)
 
 
-def ghost_dips(errors: DataFrame, eps: float = 0.05) -> DataFrame:
+#: Added to an error before dividing by it; the median error under which a quality shows the current save, not an earlier one; how close to the last save is too close.
+DIP_EPS, LEAST_ERROR, LAST_SAVE = 0.05, 0.02, 3
+
+
+def dip(below, own, above, eps: float = DIP_EPS):
+    """How far an error lies under the mean of its neighbours, relative to itself. Of columns, numbers or arrays."""
+    return ((below + above) / 2 - own) / (own + eps)
+
+
+def dip_limits(median, mad, config: Config = DEFAULT) -> tuple:
+    """The two limits of which a suspicious block's dip is under both: a share of the median, and its usual spread below it."""
+    return config.ghost_ratio * median, median - config.ghost_mad_k * 1.4826 * mad
+
+
+def ghost_dips(errors: DataFrame, eps: float = DIP_EPS) -> DataFrame:
     """(image, block, quality, dip): how far a block's error lies under its neighbours' at inner qualities."""
     w = W.partitionBy("image", "block").orderBy("quality")
-    around = (F.lag("mse").over(w) + F.lead("mse").over(w)) / 2
-    return errors.withColumn("dip", (around - F.col("mse")) / (F.col("mse") + eps)).where(F.col("dip").isNotNull()).select("image", "block", "quality", "dip")
+    return errors.withColumn("dip", dip(F.lag("mse").over(w), F.col("mse"), F.lead("mse").over(w), eps)).where(F.col("dip").isNotNull()).select("image", "block", "quality", "dip")
 
 
 def ghost_candidate(errors: DataFrame, last_quality: int | None = None, config: Config = DEFAULT) -> DataFrame:
@@ -88,14 +103,13 @@ def ghost_candidate(errors: DataFrame, last_quality: int | None = None, config:
 
     Qualities close to the last save, or with almost no error, aren't ghosts.
     """
-    dips = ghost_dips(errors).join(errors.groupBy("image", "quality").agg(F.median("mse").alias("m")), ["image", "quality"]).where("m >= 0.02")
+    dips = ghost_dips(errors).join(errors.groupBy("image", "quality").agg(F.median("mse").alias("m")), ["image", "quality"]).where(F.col("m") >= LEAST_ERROR)
     if last_quality is not None:
-        dips = dips.where(F.abs(F.col("quality") - last_quality) >= 3)
+        dips = dips.where(F.abs(F.col("quality") - last_quality) >= LAST_SAVE)
     medians = dips.groupBy("image", "quality").agg(F.median("dip").alias("median_dip"))
     best = medians.groupBy("image").agg(F.max_by(F.struct("quality", "median_dip"), F.struct("median_dip", -F.col("quality"))).alias("b")).select("image", "b.*")
     chosen = dips.join(best, ["image", "quality"])
     mad = chosen.groupBy("image", "quality", "median_dip").agg(F.median(F.abs(F.col("dip") - F.col("median_dip"))).alias("mad"), F.count("*").alias("blocks"))
-    k = config.ghost_mad_k * 1.4826
-    limit = mad.withColumn("threshold", F.least(config.ghost_ratio * F.col("median_dip"), F.col("median_dip") - k * F.col("mad")))
+    limit = mad.withColumn("threshold", F.least(*dip_limits(F.col("median_dip"), F.col("mad"), config)))
     below = dips.join(limit.select("image", "quality", "threshold"), ["image", "quality"]).groupBy("image").agg(F.count_if(F.col("dip") < F.col("threshold")).alias("suspicious"))
     return limit.join(below, "image").select("image", "quality", "median_dip", "mad", "threshold", "suspicious", "blocks")

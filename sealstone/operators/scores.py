@@ -80,6 +80,49 @@ def build_scorer(config: Config = DEFAULT) -> str:
     return config.scoring_mode if config.scoring_model and os.path.exists(config.scoring_model) else "additive"
 
 
+def model_scores(df: DataFrame, model: dict, k: int = 8) -> DataFrame:
+    """`df` with probability, logistic and logistic_parts from its map `features` of texts; one projection, no join.
+
+    An absent feature counts as the mean. Parts are the `k` largest contributions
+    that are not zero, by size, then name.
+    """
+    if model.get("model") != "logistic":
+        raise ValueError("not a logistic model")
+    rows = zip(model["features"], model["mean"], model["std"], model["coef"], strict=True)
+    parts = []
+    for name, mean, std, coef in rows:
+        value = feature_value(name, F.col("features"))
+        parts.append(F.struct(F.lit(name).alias("feature"), value.alias("value"), F.coalesce((value - float(mean)) * (float(coef) / (float(std) or 1.0)), F.lit(0.0)).alias("contribution")))
+    out = df.withColumn("_parts", F.array(*parts))
+    margin = F.aggregate("_parts", F.lit(float(model["intercept"])), lambda s, p: s + p["contribution"])
+    out = out.withColumn("_p", 1 / (1 + F.exp(-margin)))
+    told = F.filter("_parts", lambda p: p["value"].isNotNull() & (F.abs(p["contribution"]) > 1e-6))
+    order = F.array_sort(F.transform(told, lambda p: F.struct((-F.abs(p["contribution"])).alias("k"), p["feature"].alias("n"), p.alias("p"))))
+    top = F.transform(F.slice(order, 1, k), lambda x: x["p"])
+    return out.withColumns({"probability": F.round("_p", 4), "logistic": F.bround(100 * F.col("_p"), 0).cast("int"), "logistic_parts": top}).drop("_parts", "_p")
+
+
+def configured(df: DataFrame, config: Config = DEFAULT, model: dict | None = None) -> DataFrame:
+    """score, decision, model, explanation and score_details by the configured scorer, from `findings` and `features`.
+
+    Without a model, given or as a file that is there, the rules alone count.
+    """
+    mode = config.scoring_mode if model is not None else build_scorer(config)
+    label = "logistic"
+    if mode != "additive" and model is None:
+        with open(config.scoring_model, encoding="utf-8") as f:
+            model, label = json.load(f), f"logistic:{os.path.basename(config.scoring_model)}"
+    none = F.lit(None).cast("array<struct<feature:string,value:double,contribution:double>>")
+    if mode == "additive":
+        return additive(df, config).withColumns({"probability": F.lit(None).cast("double"), "score_details": none})
+    out = model_scores(additive(df, config).withColumnRenamed("score", "_additive"), model)
+    won = F.lit(False) if mode == "logistic" else F.col("_additive") >= F.col("logistic")
+    score = F.when(won, F.col("_additive")).otherwise(F.col("logistic"))
+    name = F.lit(label) if mode == "logistic" else F.when(won, "additive").otherwise(F.lit(label))
+    out = out.withColumns({"score": score, "model": name if mode == "logistic" else F.concat(F.lit(f"max(additive, {label}): "), name), "score_details": F.col("logistic_parts")})
+    return out.withColumn("decision", decide(F.col("score"), config)).drop("_additive", "logistic", "logistic_parts")
+
+
 # --- training ------------------------------------------------------------------------------------
 
 
@@ -88,7 +131,7 @@ def onehot(categories: DataFrame) -> DataFrame:
     values = categories.where(~F.col("name").isin(*HASH_FEATURES)).select("name", "value").distinct()
     gate = values.groupBy("name").agg(F.count("value").alias("n")).where((F.col("n") > 1) & (F.col("n") <= MAX_CATEGORIES)).select("name")
     wide = values.join(gate, "name").withColumnRenamed("value", "option")
-    pairs = categories.join(F.broadcast(wide), "name")  # at most MAX_CATEGORIES options a name
+    pairs = categories.join(wide, "name")
     return pairs.select("id", F.concat_ws("=", "name", "option").alias("feature"), (F.col("value") == F.col("option")).cast("double").alias("value"))
 
 
@@ -110,8 +153,9 @@ def fit_logistic(features: DataFrame, labels: DataFrame, l2: float = 1.0, steps:
     """Class-weighted logistic regression by full-batch gradient descent.
 
     Standardising and imputing run in Spark. Below `local_cells` matrix cells
-    (a checked size) the small matrix is iterated on the driver; above, each
-    step is one distributed aggregate, `sum(x * error)` by feature.
+    (a checked size) the small matrix is iterated on the driver, fetched as one
+    packed block a row; above, the library's distributed solver minimises the
+    same function.
     """
     import numpy as np
 
@@ -127,25 +171,24 @@ def fit_logistic(features: DataFrame, labels: DataFrame, l2: float = 1.0, steps:
     weight = {k: n / (2 * c) for k, c in counts.items()}
     w, b = np.zeros(len(order)), 0.0
     if n * len(order) <= local_cells:
-        wide = cells.groupBy("id", "label").agg(F.array_sort(F.collect_list(F.struct("feature", "x"))).alias("row")).orderBy("id").collect()
-        x = np.array([[c.x for c in r.row] for r in wide])
-        y = np.array([float(r.label) for r in wide])
-        s = np.array([weight[r.label] for r in wide])
+        wide = cells.groupBy("id", "label").agg(F.array_sort(F.collect_list(F.struct("feature", "x"))).alias("row"))
+        packed = wide.select("id", "label", F.transform("row", lambda r: r["x"]).alias("x")).orderBy("id").toArrow()
+        x = np.asarray(packed.column("x").combine_chunks().flatten()).reshape(packed.num_rows, len(order))
+        y = np.asarray(packed.column("label"), float)
+        s = np.where(y == 1, weight[1], weight[0])
         for _ in range(steps):
             error = s * (1 / (1 + np.exp(-np.clip(x @ w + b, -30, 30))) - y)
             w, b = w - rate * (x.T @ error / n + l2 * w / n), b - rate * error.mean()
     else:
-        cells = cells.persist()
-        for _ in range(steps):
-            here = features.sparkSession.createDataFrame(list(zip(order, w.tolist())), "feature string, w double")
-            margin = cells.join(F.broadcast(here), "feature").groupBy("id", "label").agg((F.sum(F.col("x") * F.col("w")) + b).alias("m"))
-            p = 1 / (1 + F.exp(-F.greatest(F.lit(-30.0), F.least(F.lit(30.0), F.col("m")))))
-            error = margin.select("id", ((p - F.col("label")) * F.when(F.col("label") == 1, weight[1]).otherwise(weight[0])).alias("e")).persist()
-            grad = {r.feature: r.g for r in cells.join(error, "id").groupBy("feature").agg((F.sum(F.col("x") * F.col("e")) / n).alias("g")).collect()}
-            mean = error.agg(F.avg("e")).first()[0]
-            error.unpersist()
-            w, b = w - rate * (np.array([grad[f] for f in order]) + l2 * w / n), b - rate * mean
-        cells.unpersist()
+        from pyspark.ml.classification import LogisticRegression
+        from pyspark.ml.functions import array_to_vector
+
+        # The same objective: weights add up to n, the penalty is l2 / n, and the columns are standardised already.
+        share = F.when(F.col("label") == 1, weight[1]).otherwise(weight[0])
+        wide = cells.groupBy("id", "label").agg(F.array_sort(F.collect_list(F.struct("feature", "x"))).alias("row"))
+        wide = wide.select(F.col("label").cast("double").alias("label"), share.alias("share"), array_to_vector(F.transform("row", lambda r: r["x"])).alias("x"))
+        fitted = LogisticRegression(featuresCol="x", weightCol="share", regParam=l2 / n, standardization=False, maxIter=200, tol=1e-9).fit(wide)
+        w, b = fitted.coefficients.toArray(), float(fitted.intercept)
     return {
         "model": "logistic", "features": order, "mean": [m for _, m, _ in names], "std": [s for _, _, s in names], "coef": w.tolist(), "intercept": float(b),
         "rows": n, "positives": counts.get(1, 0),
@@ -166,3 +209,31 @@ def feature_value(name: str, values: Column) -> Column:
         return F.when(got.isNotNull(), (got == option).cast("double"))
     got = F.try_element_at(values, F.lit(name))
     return F.when(F.lower(got) == "true", 1.0).when(F.lower(got) == "false", 0.0).otherwise(got.try_cast("double"))
+
+
+def report(features: DataFrame, labels: DataFrame, share: float = 0.25, seed: int = 0, cost_fn: float = 5.0, **options) -> dict:
+    """A model fitted on all rows, with what one fitted on the rest reaches on held-out rows.
+
+    `holdout` is None unless four rows or more with both labels are held out.
+    `threshold` is the cheapest one on the training rows, `top` the 15 largest
+    coefficients.
+    """
+    from . import evaluate
+
+    def scored(model: dict, rows: DataFrame) -> DataFrame:
+        table = model_table(features.sparkSession, model)
+        got = logistic(contributions(rows.select("id"), features.join(rows.select("id"), "id", "left_semi"), table))
+        return rows.join(got, "id").select("id", "label", F.col("score").cast("double").alias("score"))
+
+    split = holdout(labels.select("id", "label"), share, seed)
+    test, rest = split.where("test").drop("test"), split.where("NOT test").drop("test")
+    counts = {(r.test, r.label): r["count"] for r in split.groupBy("test", "label").count().collect()}
+    held = [counts.get((True, y), 0) for y in (0, 1)]
+    out = {"holdout": None}
+    if sum(held) >= 4 and min(held) > 0:
+        rows = scored(fit_logistic(features.join(rest.select("id"), "id", "left_semi"), rest, **options), test)
+        out["holdout"] = {"rows": sum(held), "roc_auc": evaluate.roc_auc(rows).first()[0], "pr_auc": evaluate.pr_auc(rows).first()[0]}
+    model = fit_logistic(features, labels.select("id", "label"), **options)
+    best = evaluate.best_threshold(scored(model, labels.select("id", "label")), cost_fn=cost_fn).first()
+    ranked = sorted(zip(model["features"], model["coef"]), key=lambda x: (-abs(x[1]), x[0]))
+    return model | out | {"threshold": best.threshold, "top": [{"feature": f, "coef": c} for f, c in ranked[:15]]}

@@ -83,5 +83,45 @@ def hashes(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
     return read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), word.alias("h"))
 
 
+WORDS = ("w0", "w1", "w2", "w3")
+#: Places among the 63 later coefficients, in order of size, that the four words of a 256-bit hash are cut at.
+RANKS = (12, 25, 38, 51)
+
+
+def shots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(id, sha256, w0..w3): three shots of each embedding taken for an image's coefficients.
+
+    The first has its 256-bit hash, the second three bits of it turned, the third
+    up to 23, none for every fifth, which is the same file sent again.
+    """
+    bits = lambda rest, k: hashing.bits_to_long(F.transform("embedding", lambda x: x > F.get(rest, F.lit(k))), 64)
+    rest = F.array_sort(F.slice("embedding", 2, 63))
+    words = F.transform(F.array(rest), lambda r: F.struct(*(bits(r, k).alias(w) for w, k in zip(WORDS, RANKS))))[0]
+    v = F.col("vec_id")
+    plain = read(spark, sf_dir, "embeddings").select("vec_id", words.alias("w")).select("vec_id", "w.*")
+    one = lambda n: F.call_function("shiftleft", F.lit(1).cast("long"), n.cast("int"))
+    few, many = one(v % 62).bitwiseOR(one(v * 7 % 62)), one(v % 24) - 1
+    j = F.col("j")
+    turned = {
+        "w0": F.when(j == 1, F.col("w0").bitwiseXOR(few)).otherwise(F.col("w0")), "w1": F.when((j == 2) & (v % 5 != 0), F.col("w1").bitwiseXOR(many)).otherwise(F.col("w1")),
+        "w3": F.when(j == 1, F.col("w3").bitwiseXOR(one(v % 62))).otherwise(F.col("w3")),
+    }
+    rows = plain.withColumn("j", F.explode(F.array(*(F.lit(k) for k in range(3)))))
+    file = F.concat(F.lit("f"), F.when((j == 2) & (v % 5 == 0), v * 3).otherwise(v * 3 + j).cast("string"))
+    return rows.select((v * 3 + j).alias("id"), file.alias("sha256"), *(turned.get(w, F.col(w)).alias(w) for w in WORDS))
+
+
+def gradient_shots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(id, h): two shots of each 64-bit gradient hash, the second with up to nine bits turned."""
+    rows = hashes(spark, sf_dir, "gradient").withColumn("j", F.explode(F.array(F.lit(0), F.lit(1))))
+    mask = F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("id") % 10).cast("int")) - 1
+    return rows.select((F.col("id") * 2 + F.col("j")).alias("id"), F.when(F.col("j") == 1, F.col("h").bitwiseXOR(mask)).otherwise(F.col("h")).alias("h"))
+
+
+def listed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(pos, h): a client's short list of 64-bit hashes, one for each nation."""
+    return read(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("pos"), hashing.from_hex(F.substring(F.md5("n_name"), 1, 16)).alias("h"))
+
+
 def model(spark: SparkSession) -> DataFrame:
     return scores.model_table(spark, MODEL)

@@ -227,17 +227,34 @@ def hash_gradient(spark, sf_dir):
 
 @query
 def hamming_near(spark, sf_dir):
-    return dedup.near_pairs(b.hashes(spark, sf_dir, "median"), ["h"], 20)
+    return dedup.near_pairs(b.shots(spark, sf_dir), list(b.WORDS), 8)
 
 
 @query
 def hamming_near_gradient(spark, sf_dir):
-    return dedup.near_pairs(b.hashes(spark, sf_dir, "gradient"), ["h"], 16)
+    return dedup.near_pairs(b.gradient_shots(spark, sf_dir), ["h"], 6)
+
+
+@query
+def hash_members(spark, sf_dir):
+    return dedup.hash_members(b.shots(spark, sf_dir), list(b.WORDS))
 
 
 @query
 def nearest_prior(spark, sf_dir):
-    return dedup.nearest_prior(b.hashes(spark, sf_dir, "median"), ["h"], 20)
+    return dedup.nearest_prior(b.shots(spark, sf_dir), list(b.WORDS), 8)
+
+
+@query
+def nearest_listed(spark, sf_dir):
+    found = dedup.nearest_listed(b.hashes(spark, sf_dir, "gradient"), b.listed(spark, sf_dir), "h", 24)
+    return found.select("id", hashing.to_hex(F.col("nearest_hash")).alias("nearest"), "distance", "within")
+
+
+@query
+def duplicate_detail(spark, sf_dir):
+    found = dedup.with_duplicates(b.shots(spark, sf_dir), list(b.WORDS))
+    return found.select("id", "exact_duplicate", "nearest_id", "nearest_distance", "near_duplicate")
 
 
 # --- evaluation ----------------------------------------------------------------------------------

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .bindings import MODEL, PURGE_AT
+from .bindings import MODEL, PURGE_AT, RANKS
 
 LOW, WARN, REVIEW = "BAIXO RISCO", "ATENÇÃO", "REVISAR"
 DECIDE = f"CASE WHEN {{0}} >= 35 THEN '{REVIEW}' WHEN {{0}} >= 15 THEN '{WARN}' ELSE '{LOW}' END"
@@ -58,7 +58,26 @@ h AS (SELECT vec_id AS id, list_sum(list_transform(range(64), lambda i: CASE WHE
 HASH_GRADIENT = """
 h AS (SELECT vec_id AS id, list_sum(list_transform(range(63), lambda i: CASE WHEN embedding[i + 2] > embedding[i + 1] THEN 1::HUGEINT << (62 - i) ELSE 0::HUGEINT END)) AS h FROM embeddings)
 """
-NEAR = "SELECT x.id AS a, y.id AS b, bit_count(xor(x.h, y.h))::BIGINT AS distance FROM h x JOIN h y ON x.id < y.id WHERE bit_count(xor(x.h, y.h)) <= {0}"
+_WORDS = ", ".join(f"list_sum(list_transform(range(64), lambda i: CASE WHEN embedding[i + 1] > r[{k + 1}] THEN 1::HUGEINT << (63 - i) ELSE 0::HUGEINT END)) AS w{j}" for j, k in enumerate(RANKS))
+SHOTS = f"""
+plain AS (SELECT vec_id AS v, {_WORDS} FROM (SELECT *, list_sort(embedding[2:64]) AS r FROM embeddings)),
+shots AS (
+  SELECT v * 3 + j AS id, 'f' || CASE WHEN j = 2 AND v % 5 = 0 THEN v * 3 ELSE v * 3 + j END AS sha256,
+    CASE WHEN j = 1 THEN xor(w0, (1::HUGEINT << (v % 62)::INT) | (1::HUGEINT << (v * 7 % 62)::INT)) ELSE w0 END AS w0,
+    CASE WHEN j = 2 AND v % 5 <> 0 THEN xor(w1, (1::HUGEINT << (v % 24)::INT) - 1) ELSE w1 END AS w1, w2,
+    CASE WHEN j = 1 THEN xor(w3, 1::HUGEINT << (v % 62)::INT) ELSE w3 END AS w3
+  FROM plain, range(3) t(j)
+),
+classes AS (SELECT w0, w1, w2, w3, min(id) AS id FROM shots GROUP BY ALL),
+far AS (SELECT x.id AS a, y.id AS b, (bit_count(xor(x.w0, y.w0))::BIGINT + bit_count(xor(x.w1, y.w1)) + bit_count(xor(x.w2, y.w2)) + bit_count(xor(x.w3, y.w3))) AS distance FROM classes x JOIN classes y ON x.id < y.id),
+members AS (SELECT s.id, c.id AS first_id FROM shots s JOIN classes c USING (w0, w1, w2, w3)),
+priors AS (SELECT id, first_id AS a, 0::BIGINT AS distance FROM members WHERE id > first_id UNION ALL SELECT b, a, distance FROM far WHERE distance <= 32)
+"""
+GRADIENT_SHOTS = """
+g AS (SELECT id * 2 + j AS id, CASE WHEN j = 1 THEN xor(h, (1::HUGEINT << (id % 10)::INT) - 1) ELSE h END AS h FROM h, range(2) t(j)),
+gc AS (SELECT h, min(id) AS id FROM g GROUP BY h)
+"""
+NEAREST = "SELECT id, a AS nearest_id, distance FROM priors WHERE distance <= {0} QUALIFY row_number() OVER (PARTITION BY id ORDER BY distance, a) = 1"
 RECEIPTS = """
 r AS (SELECT *, strftime(o_orderdate, '%d/%m/%Y') AS date FROM orders)
 """
@@ -107,9 +126,12 @@ ORACLES = {
     "prior_duplicates": _b("SELECT id, row_number() OVER (PARTITION BY sha256 ORDER BY id) - 1 AS earlier FROM base"),
     "hash_median": f"WITH {HASH_MEDIAN} SELECT id, lpad(lower(hex(h::UBIGINT)), 16, '0') AS hex FROM h",
     "hash_gradient": f"WITH {HASH_GRADIENT} SELECT id, lpad(lower(hex(h::UBIGINT)), 16, '0') AS hex FROM h",
-    "hamming_near": f"WITH {HASH_MEDIAN} {NEAR.format(20)}",
-    "hamming_near_gradient": f"WITH {HASH_GRADIENT} {NEAR.format(16)}",
-    "nearest_prior": f"WITH {HASH_MEDIAN}, p AS ({NEAR.format(20)}) SELECT b AS id, a AS nearest_id, distance FROM p QUALIFY row_number() OVER (PARTITION BY b ORDER BY distance, a) = 1",
+    "hamming_near": f"WITH {SHOTS} SELECT a, b, distance FROM far WHERE distance <= 8",
+    "hamming_near_gradient": f"WITH {HASH_GRADIENT}, {GRADIENT_SHOTS} SELECT x.id AS a, y.id AS b, bit_count(xor(x.h, y.h))::BIGINT AS distance FROM gc x JOIN gc y ON x.id < y.id WHERE bit_count(xor(x.h, y.h)) <= 6",
+    "hash_members": f"WITH {SHOTS} SELECT id, first_id FROM members",
+    "nearest_prior": f"WITH {SHOTS} {NEAREST.format(8)}",
+    "nearest_listed": f"WITH {HASH_GRADIENT}, l AS (SELECT n_nationkey AS pos, ('0x' || substr(md5(n_name), 1, 16))::UBIGINT::HUGEINT AS n FROM nation) SELECT id, lpad(lower(hex(n::UBIGINT)), 16, '0') AS nearest, bit_count(xor(h, n))::BIGINT AS distance, bit_count(xor(h, n)) <= 24 AS within FROM h, l QUALIFY row_number() OVER (PARTITION BY id ORDER BY bit_count(xor(h, n)), pos) = 1",
+    "duplicate_detail": f"WITH {SHOTS}, near AS ({NEAREST.format(32)}), f AS (SELECT sha256, min(id) AS first FROM shots GROUP BY sha256) SELECT s.id, s.id > first AS exact_duplicate, nearest_id, distance AS nearest_distance, s.id <= first AND coalesce(distance <= 8, false) AS near_duplicate FROM shots s JOIN f USING (sha256) LEFT JOIN near USING (id)",
     "confusion": _b(f"SELECT tp, fp, fn, tn, {RATES} FROM (SELECT count(*) FILTER (label = 1 AND score >= 15) AS tp, count(*) FILTER (label = 0 AND score >= 15) AS fp, count(*) FILTER (label = 1 AND score < 15) AS fn, count(*) FILTER (label = 0 AND score < 15) AS tn FROM ev_rows)"),
     "per_code_metrics": _b(f"SELECT code, tp, fp, fn, tn, {RATES} FROM (SELECT code, tp, fp, p - tp AS fn, n - fp AS tn FROM (SELECT code, count(*) FILTER (label = 1) AS tp, count(*) FILTER (label = 0) AS fp FROM ev_rows JOIN f USING (id) GROUP BY code), (SELECT count(*) FILTER (label = 1) AS p, count(*) FILTER (label = 0) AS n FROM ev_rows))"),
     "per_kind": _b("SELECT kind, count(*) AS n, round(avg((score >= 35)::INT), 4) AS at_review, round(avg((score >= 15)::INT), 4) AS at_attention, round(avg(score), 1) AS mean_score FROM ev_rows WHERE label = 1 GROUP BY kind"),

@@ -16,14 +16,29 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .config import DEFAULT, Config
+from .functions import text
 from .operators import imaging, layout
 from .session import ship
 
-# Names under which outside models report the canonical fields.
+# Names of expected fields and of what outside models report, by canonical field.
 FIELD_ALIASES = {
-    "pedido": "pedido", "order": "pedido", "order_id": "pedido", "numero": "pedido", "data": "data", "date": "data", "data_entrega": "data", "destinatario": "destinatario",
-    "recipient": "destinatario", "cliente": "destinatario", "nome": "destinatario", "valor": "valor", "value": "valor", "total": "valor", "codigo": "codigo", "code": "codigo", "referencia": "codigo",
-}
+    "pedido": "pedido",
+    "order": "pedido",
+    "numero": "pedido",
+    "order_id": "pedido",
+    "data": "data",
+    "date": "data",
+    "destinatario": "destinatario",
+    "nome": "destinatario",
+    "recipient": "destinatario",
+    "valor": "valor",
+    "total": "valor",
+    "value": "valor",
+    "codigo": "codigo",
+    "code": "codigo",
+    "referencia": "codigo",
+    "rastreio": "codigo",
+}
 VLM = "legibility string, has_signature boolean, edit_signs array<string>, fields map<string,string>"
 DEEP = f"path string, deep_score double, deep_mask_mean double, deep_regions array<{imaging.REGION}>, error string"
 
@@ -96,7 +111,7 @@ def deep(images: DataFrame, spec: str, config: Config = DEFAULT) -> DataFrame:
                     got = predict(np.frombuffer(bytes(data), np.uint8).reshape(h, w, n)[..., 2::-1])
                     mask = np.asarray(got.get("mask")) if got.get("mask") is not None else np.zeros((1, 1))
                     y, x = h / mask.shape[0], w / mask.shape[1]
-                    parts = sorted((c for c in imaging.components(mask >= 0.5) if c[4] >= 0.001 * mask.size), key=lambda c: -c[4])[:5]
+                    parts = sorted((c for c in imaging.components(mask >= config.deep_mask) if c[4] >= 0.001 * mask.size), key=lambda c: -c[4])[:5]
                     row |= {"deep_score": min(1.0, max(0.0, float(got["score"]))), "deep_mask_mean": float(mask.mean()), "deep_regions": [{"x": int(c[0] * x), "y": int(c[1] * y), "w": int(c[2] * x), "h": int(c[3] * y)} for c in parts]}
                 except Exception as fault:  # noqa: BLE001  reported as a column
                     row["error"] = f"{type(fault).__name__}: {fault}"
@@ -106,9 +121,21 @@ def deep(images: DataFrame, spec: str, config: Config = DEFAULT) -> DataFrame:
     return images.select("path", "height", "width", "channels", "data").mapInPandas(run, DEEP)
 
 
+def canonical(name: Column) -> Column:
+    """Canonical field of a name, without regard to case and accents; null if there is none."""
+    aliases = F.create_map(*(F.lit(x) for pair in FIELD_ALIASES.items() for x in pair))
+    return F.try_element_at(aliases, F.trim(F.lower(text.strip_accents(name))))
+
+
+def read_for(name: Column, fields: Column) -> Column:
+    """What an outside model read for the field that `name` means."""
+    return F.try_element_at(fields, canonical(name))
+
+
 def vlm(raw: Column) -> Column:
-    """A vision model's JSON as a struct, its fields under canonical names; null where it is none."""
+    """A vision model's JSON as a struct, its fields under canonical names (of two for one field the first); null where it is none."""
     got = F.from_json(raw, VLM)
-    aliases = F.create_map(*(F.lit(x) for pair in FIELD_ALIASES.items() for x in pair))
-    known = F.map_filter(got["fields"], lambda k, v: F.map_contains_key(aliases, F.lower(k)) & v.isNotNull())
-    return F.when(got["legibility"].isNotNull(), got.withField("fields", F.transform_keys(known, lambda k, v: F.try_element_at(aliases, F.lower(k)))))
+    named = F.transform(F.map_entries(got["fields"]), lambda e: F.struct(canonical(e["key"]).alias("key"), e["value"].alias("value")))
+    known = F.filter(named, lambda e: e["key"].isNotNull() & e["value"].isNotNull())
+    first = F.filter(known, lambda e, i: ~F.exists(F.slice(known, 1, i), lambda o: o["key"] == e["key"]))
+    return F.when(got["legibility"].isNotNull(), got.withField("fields", F.map_from_entries(first)))

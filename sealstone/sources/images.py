@@ -31,19 +31,26 @@ TYPES = {1: 1, 2: 1, 3: 2, 4: 4, 5: 8, 7: 1, 9: 4, 10: 8}
 CONTAINER = "format string, width int, height int, progressive boolean, tables int, luma array<int>, subsampling string, exif map<string,string>, has_gps boolean, error string"
 
 
-def scan(spark: SparkSession, path: str, config: Config = DEFAULT) -> DataFrame:
-    """JPEG and PNG files of a folder, not its subfolders, by path; larger ones than the limit are never read.
+#: Suffixes of image files, in any case.
+SUFFIXES = "*.{[jJ][pP][gG],[jJ][pP][eE][gG],[pP][nN][gG]}"
 
-    The size filter reaches the file source, so contents over it stay unread.
+
+def _files(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    return spark.read.format("binaryFile").option("pathGlobFilter", SUFFIXES).option("recursiveFileLookup", "false").load(path)
+
+
+def scan(spark: SparkSession, path: str | list[str], config: Config = DEFAULT) -> DataFrame:
+    """JPEG and PNG files of a folder, not its subfolders, or of a list of folders and files; larger ones than the limit are never read.
+
+    The size filter reaches the file source, so contents over it stay unread. Empty files are left out too.
     """
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.{jpg,jpeg,png,JPG,JPEG,PNG,Jpg,Jpeg,Png}").option("recursiveFileLookup", "false").load(path)
-    return files.where(F.col("length") <= config.max_upload_bytes).select("path", "length", "content")
+    return _files(spark, path).where(F.col("length").between(1, config.max_upload_bytes)).select("path", "length", "content")
 
 
-def rejects(spark: SparkSession, path: str, config: Config = DEFAULT) -> DataFrame:
-    files = spark.read.format("binaryFile").load(path)
+def rejects(spark: SparkSession, path: str | list[str], config: Config = DEFAULT) -> DataFrame:
+    """(path, length, reason) of files that `scan` leaves out; only names and sizes are read."""
     reason = F.when(F.col("length") == 0, "empty").when(F.col("length") > config.max_upload_bytes, "too many bytes")
-    return files.select("path", "length", reason.alias("reason")).where(F.col("reason").isNotNull())
+    return _files(spark, path).select("path", "length", reason.alias("reason")).where(F.col("reason").isNotNull())
 
 
 def _tiff(data: bytes) -> tuple[dict[str, str], bool]:

@@ -71,7 +71,7 @@ def environment(config: Config = DEFAULT) -> Config:
     path = os.environ.get("SEALSTONE_CONFIG")
     base = load(path) if path else config
     model = os.environ.get("SEALSTONE_MODEL")
-    return Config(**{**base.__dict__, "scoring_model": model or base.scoring_model, "scoring_mode": os.environ.get("SEALSTONE_MODE", "max")})
+    return base.but(scoring_model=model or base.scoring_model, scoring_mode=os.environ.get("SEALSTONE_MODE", "max"))
 
 
 def console_row() -> Column:

@@ -1,10 +1,13 @@
 import datetime as dt
+import pickle
 import random
 
+import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from sealstone.config import Config
+from sealstone.config import Config, from_dict
 from sealstone.operators import dedup, evaluate, layout, scores, workflow
 from sealstone.sources import tables
 from sealstone.streaming import reviews
@@ -40,21 +43,71 @@ def test_confusion(spark):
     assert (r.precision, r.recall, r.f1, r.fpr) == (0.5, 0.5, 0.5, 0.5)
 
 
-def test_bands_find_all_pairs(spark):
+def test_segments_find_all_pairs(spark):
     rng = random.Random(2)
     base = [rng.getrandbits(64) for _ in range(12)]
     words = [b ^ sum(1 << k for k in rng.sample(range(64), rng.randint(0, 9))) for b in base for _ in range(8)] + base[:3] * 2
     signed = lambda x: x - (1 << 64) if x >> 63 else x
-    df = spark.createDataFrame([(i, signed(w), signed(words[-1 - i])) for i, w in enumerate(words)], "id long, h long, g long")
-    want = {(i, j): (words[i] ^ words[j]).bit_count() for i in range(len(words)) for j in range(i + 1, len(words))}
-    got = {(r.a, r.b): r.distance for r in dedup.near_pairs(df, ["h"], 8).collect()}
-    assert got == {k: d for k, d in want.items() if d <= 8}
+    df = spark.createDataFrame([(i, signed(w), signed(words[-1 - i])) for i, w in enumerate(words)] + [(900, None, 1)], "id long, h long, g long")
+    first = {i: words.index(w) for i, w in enumerate(words)}
+    want = {(i, j): (words[i] ^ words[j]).bit_count() for i in set(first.values()) for j in set(first.values()) if i < j}
+    for radius in (0, 3, 8):
+        got = [(r.a, r.b, r.distance) for r in dedup.near_pairs(df, ["h"], radius).collect()]
+        assert len(got) == len(set(got)) and {(a, b): d for a, b, d in got} == {k: d for k, d in want.items() if d <= radius}
+    assert {r.id: r.first_id for r in dedup.hash_members(df, ["h"]).collect()} == first
     two = {(r.a, r.b): r.distance for r in dedup.near_pairs(df, ["h", "g"], 16).collect()}
     n = len(words)
-    both = {(i, j): d + (words[n - 1 - i] ^ words[n - 1 - j]).bit_count() for (i, j), d in want.items()}
+    keys = [(words[i], words[n - 1 - i]) for i in range(n)]
+    reps = sorted({keys.index(k) for k in keys})
+    both = {(i, j): sum((x ^ y).bit_count() for x, y in zip(keys[i], keys[j])) for i in reps for j in reps if i < j}
     assert two == {k: d for k, d in both.items() if d <= 16}
 
 
+def test_segments_add_up():
+    for bits, radius in ((64, 6), (256, 8), (256, 32), (8, 8), (64, 0)):
+        for n in (1, 1000, 10**6, 10**10):
+            parts = dedup.segments(bits, radius, n)
+            assert sum(r + 1 for _, _, r in parts) == radius + 1 and all(hi <= lo for (_, hi, _), (lo, _, _) in zip(parts, parts[1:])) and parts[-1][1] <= bits
+
+
+def test_few_pairs_are_compared(spark):
+    """100,000 hashes of 256 bits, one of them 10,000 times: compared pairs are a fraction of the rows."""
+    rng = np.random.default_rng(5)
+    rows = rng.integers(-(1 << 63), (1 << 63) - 1, (90_000, 4))
+    rows = np.concatenate([rows, np.repeat(rows[:1], 10_000, axis=0)])
+    df = spark.createDataFrame(pd.DataFrame(rows, columns=["w0", "w1", "w2", "w3"]).assign(id=range(len(rows))))
+    words = ["w0", "w1", "w2", "w3"]
+    reps = dedup.hash_classes(df, words).select(*words, F.col("first_id").alias("id"))
+    parts = dedup.segments(256, 8, 90_000)
+    compared = 0
+    for lo, hi, radius in parts:
+        v = dedup._value([F.col(w) for w in words], lo, hi)
+        sizes = reps.groupBy(v.alias("v")).count()
+        looked = reps.select(F.explode(dedup.around(v, hi - lo, radius)).alias("v")).groupBy("v").agg(F.count("*").alias("asks"))
+        compared += sizes.join(looked, "v").agg(F.sum(F.col("count") * F.col("asks"))).first()[0]
+    assert compared <= 12 * 90_000  # the hashes themselves among them, once for each of nine segments
+    assert dedup.near_pairs(df, words, 8).count() == 0
+    near = dedup.nearest_prior(df, words, 8)
+    assert near.count() == 10_000 and near.select("nearest_id", "distance").distinct().collect() == [(0, 0)]
+
+
+def test_prior_counts_of_a_common_digest(spark):
+    rows = [(i * 3 % 5000, "same" if i % 3 else f"d{i % 40}") for i in range(4000)]
+    rows = list({i: d for i, d in rows}.items()) + [(9999, None), (10_000, None)]
+    seen, want = {}, {}
+    for i, d in sorted(rows):
+        want[i] = seen.get(d, 0)
+        seen[d] = want[i] + 1
+    assert {r.id: r.earlier for r in dedup.prior_counts(spark.createDataFrame(rows, "id long, sha256 string")).collect()} == want
+
+
+def test_nearest_listed(spark):
+    df = spark.createDataFrame([(1, 0), (2, 255), (3, None)], "id long, h long")
+    listed = spark.createDataFrame([(0, 1), (1, 127), (2, 254)], "pos long, h long")
+    assert [tuple(r) for r in dedup.nearest_listed(df, listed, "h", 0).orderBy("id").collect()] == [(1, 1, 1, False), (2, 127, 1, False)]
+    assert dedup.nearest_listed(df, listed.limit(0), "h", 0).count() == 0
+
+
 def test_duplicates_see_only_the_past(spark):
     rows = [(1, "a", "x", 0, 0), (2, "a", "y", 0, 0), (3, "b", "z", 7, 0), (4, "c", "z", 1 << 40, 255), (5, "d", None, None, None)]
     df = spark.createDataFrame(rows, "id long, sha256 string, reference string, p0 long, p1 long")
@@ -81,9 +134,9 @@ def test_training_and_scoring(spark):
     out = scores.logistic(scores.contributions(lab.select("id"), feats, table))
     rows = out.join(lab, "id").select("id", "label", F.lit("k").alias("kind"), F.lit("o").alias("origin"), "score", F.array().cast("array<string>").alias("codes"))
     assert evaluate.roc_auc(rows).first().roc_auc >= 0.9
-    far = scores.fit_logistic(feats, lab, steps=3, local_cells=0)
-    near = scores.fit_logistic(feats, lab, steps=3)
-    assert far["coef"] == pytest.approx(near["coef"]) and far["intercept"] == pytest.approx(near["intercept"])
+    far = scores.fit_logistic(feats, lab, local_cells=0)
+    near = scores.fit_logistic(feats, lab, steps=30_000)
+    assert far["coef"] == pytest.approx(near["coef"], rel=1e-3, abs=1e-3) and far["intercept"] == pytest.approx(near["intercept"], abs=1e-3)
     flat = {"model": "logistic", "features": ["f"], "mean": [0.0], "std": [0.0], "coef": [0.0], "intercept": 3.0}
     r = scores.logistic(scores.contributions(lab.limit(1).select("id"), feats, scores.model_table(spark, flat))).first()
     assert (r.score, r.probability, r.decision) == (95, 0.9526, "REVISAR")
@@ -143,6 +196,16 @@ def test_config():
     for bad in (0, -1, True, 1.5, "9"):
         with pytest.raises(ValueError):
             Config(max_upload_bytes=bad)
+    for wrong in ({"review_threshold": 5}, {"scoring_mode": "other"}, {"ghost_qualities": (0, 50)}, {"copy_enabled": 1}, {"ela_warn": 20.0}, {"known_editors": ["x"]}):
+        with pytest.raises(ValueError):
+            Config(**wrong)
+    with pytest.raises(TypeError):
+        Config(nothing=1)
+    with pytest.raises(AttributeError):
+        Config().min_width = 3
+    other = Config().but(min_width=3)
+    assert other.min_width == 3 and Config().min_width == 700 and other != Config() and pickle.loads(pickle.dumps(other)) == other and repr(other) == "Config(min_width=3)"
+    assert from_dict({"ghost_qualities": [50, 60, 70], "unknown": 1}).ghost_qualities == (50, 60, 70) and from_dict(None) == Config()
 
 
 def test_stream_of_reviews(spark, tmp_path):

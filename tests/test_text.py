@@ -20,7 +20,12 @@ def test_dates(spark, text):
     assert one(spark, t.parse_date(F.lit(text))) == dt.date(2026, 9, 4)
 
 
-@pytest.mark.parametrize("text", ["31/02/2026", "sem data", ""])
+@pytest.mark.parametrize(("text", "want"), [("4/9/026", dt.date(2026, 9, 4)), ("  4 De SET. de 26 ", dt.date(2026, 9, 4)), ("04/09/2026 10:15", dt.date(2026, 9, 4)), ("2026-09-04 10:15:59", dt.date(2026, 9, 4)), ("1/1/0099", dt.date(2099, 1, 1))])
+def test_other_dates(spark, text, want):
+    assert one(spark, t.parse_date(F.lit(text))) == want
+
+
+@pytest.mark.parametrize("text", ["31/02/2026", "sem data", "", "entregue em 04/09/2026 ok", "04/09/2026 25:15", "2026-09-04T10:15", "4 foo 2026"])
 def test_no_date(spark, text):
     assert one(spark, t.parse_date(F.lit(text))) is None
 
@@ -30,6 +35,13 @@ def test_money(spark, text, want):
     assert one(spark, t.parse_money(F.lit(text))) == (want and Decimal(want))
 
 
+def test_kind_of_a_text_with_a_date(spark):
+    assert one(spark, t.infer_kind(F.lit("campo"), F.lit("entregue em 04/09/2026 ok"))) == "text"
+    assert one(spark, t.infer_kind(F.lit("campo"), F.lit("04/09/026"))) == "date"
+    assert one(spark, t.find_dates(F.lit("em 4/9/026"))) == [dt.date(2026, 9, 4)]
+    assert one(spark, t.find_money(F.lit("R$ 0,00 e R$ 5 e 7"))) == [Decimal("5.00")]
+
+
 def test_found_in_noise(spark):
     noisy = F.lit("ligue 5555-1234, total R$ 1.250,00 em 04/09/2026 e troco 12,50")
     assert one(spark, t.find_dates(noisy)) == [dt.date(2026, 9, 4)]
@@ -42,10 +54,10 @@ def test_confusions(spark):
     assert one(spark, t.normalize_text(F.lit("  São  João, nº 5 ßx"))).startswith("sao joao")
 
 
-def test_full_decomposition(spark):
-    ship(spark)
-    df = spark.createDataFrame([("ﬁm é",), (None,)], "s string")
-    assert [r[0] for r in df.select(t.strip_accents_full("s")).collect()] == ["fim e", None]
+def test_folding_of_all_latin_letters(spark):
+    df = spark.createDataFrame([("ﬁm é Việt Ｎ° ǄĲ ß",), (None,)], "s string")
+    assert [r[0] for r in df.select(t.strip_accents("s")).collect()] == ["fim e Viet N° DZIJ ß", None]
+    assert one(spark, t.normalize_text(F.lit("Việt ﬁm Straße"))) == "viet fim strasse"
 
 
 def test_ratios():
