@@ -157,7 +157,7 @@ def test_pixels_through_spark(spark, tmp_path):
 
 def test_rule_table(spark):
     row = {"blur_variance": 10.0, "width": 500, "height": 900, "software_kind": "editor", "software": "gimp", "format": "jpeg", "exif_tags": 0, "jpeg_standard_tables": False,
-           "capture_gap_days": 3, "capture_future": False, "modified_after_capture_minutes": 11.0, "ela_mean": 14.0, "ghost_coverage": 0.2, "exact_duplicate": True, "nearest_distance": 0}
+           "capture_gap_days": 3, "capture_future": False, "modified_after_capture_minutes": 11.0, "ela_mean": 14.0, "ela_p95": 20.0, "ghost_quality": 70, "ghost_coverage": 0.2, "exact_duplicate": True, "nearest_distance": 0}
     df = spark.createDataFrame([row]).withColumn("ghost_regions", F.array(F.struct(*(F.lit(1).alias(n) for n in "xywh")))).withColumn("copy_move_region", F.lit(None).cast("struct<x:int,y:int,w:int,h:int>"))
     out = df.select(findings.apply_rules(findings.image_rules()).alias("f")).select(F.transform("f", lambda x: x["code"]).alias("c"), findings.additive_score(F.col("f")).alias("s")).first()
     assert out.c == ["blur", "resolution", "editing_software", "no_exif", "nonstandard_quantization", "exif_date_mismatch", "exif_modified_later", "ela_high", "ghost_local", "exact_duplicate"]
