@@ -92,24 +92,32 @@ def dip_limits(median, mad, config: Config = DEFAULT) -> tuple:
     return config.ghost_ratio * median, median - config.ghost_mad_k * 1.4826 * mad
 
 
+def _with_dips(errors: DataFrame, eps: float = DIP_EPS) -> DataFrame:
+    """`errors` with `dip`, which is null at the outer qualities."""
+    w = W.partitionBy("image", "block").orderBy("quality")
+    return errors.withColumn("dip", dip(F.lag("mse").over(w), F.col("mse"), F.lead("mse").over(w), eps))
+
+
 def ghost_dips(errors: DataFrame, eps: float = DIP_EPS) -> DataFrame:
     """(image, block, quality, dip): how far a block's error lies under its neighbours' at inner qualities."""
-    w = W.partitionBy("image", "block").orderBy("quality")
-    return errors.withColumn("dip", dip(F.lag("mse").over(w), F.col("mse"), F.lead("mse").over(w), eps)).where(F.col("dip").isNotNull()).select("image", "block", "quality", "dip")
+    return _with_dips(errors, eps).where(F.col("dip").isNotNull()).select("image", "block", "quality", "dip")
 
 
 def ghost_candidate(errors: DataFrame, last_quality: int | None = None, config: Config = DEFAULT) -> DataFrame:
     """(image, quality, median_dip, mad, threshold, suspicious, blocks): the best inner quality and its robust threshold.
 
     Qualities close to the last save, or with almost no error, aren't ghosts.
+    Blocks only ever stream past the images' values: the hints keep the planner,
+    whose estimates don't count what an explode adds, from broadcasting blocks.
     """
-    dips = ghost_dips(errors).join(errors.groupBy("image", "quality").agg(F.median("mse").alias("m")), ["image", "quality"]).where(F.col("m") >= LEAST_ERROR)
+    dips = _with_dips(errors).select("image", "quality", "mse", "dip")
+    medians = dips.groupBy("image", "quality").agg(F.median("mse").alias("m"), F.median("dip").alias("median_dip")).where((F.col("m") >= LEAST_ERROR) & F.col("median_dip").isNotNull())
     if last_quality is not None:
-        dips = dips.where(F.abs(F.col("quality") - last_quality) >= LAST_SAVE)
-    medians = dips.groupBy("image", "quality").agg(F.median("dip").alias("median_dip"))
+        medians = medians.where(F.abs(F.col("quality") - last_quality) >= LAST_SAVE)
     best = medians.groupBy("image").agg(F.max_by(F.struct("quality", "median_dip"), F.struct("median_dip", -F.col("quality"))).alias("b")).select("image", "b.*")
-    chosen = dips.join(best, ["image", "quality"])
+    chosen = dips.where(F.col("dip").isNotNull()).select("image", "quality", "dip").join(best.hint("shuffle_hash"), ["image", "quality"])
     mad = chosen.groupBy("image", "quality", "median_dip").agg(F.median(F.abs(F.col("dip") - F.col("median_dip"))).alias("mad"), F.count("*").alias("blocks"))
-    limit = mad.withColumn("threshold", F.least(*dip_limits(F.col("median_dip"), F.col("mad"), config)))
-    below = dips.join(limit.select("image", "quality", "threshold"), ["image", "quality"]).groupBy("image").agg(F.count_if(F.col("dip") < F.col("threshold")).alias("suspicious"))
-    return limit.join(below, "image").select("image", "quality", "median_dip", "mad", "threshold", "suspicious", "blocks")
+    limit = mad.withColumn("threshold", F.least(*dip_limits(F.col("median_dip"), F.col("mad"), config))).drop("median_dip")
+    judged = chosen.join(limit.hint("shuffle_hash"), ["image", "quality"])
+    out = ["image", "quality", "median_dip", "mad", "threshold"]
+    return judged.groupBy(*out, "blocks").agg(F.count_if(F.col("dip") < F.col("threshold")).alias("suspicious")).select(*out, "suspicious", "blocks")

@@ -72,3 +72,11 @@ def test_lines_hold_whole_turns(spark):
     rows = catalog.b.read(spark, DATA, "conversations").collect()
     got = {r.doc: r.text for r in catalog.QUERIES["line_text_whole"](spark, DATA).collect()}
     assert any(len(r.text) > 20 for r in rows) and all(f"{r.role}:{r.text}" in got[r.conv_id] for r in rows if r.text is not None)
+
+
+def test_no_block_of_an_image_is_broadcast(spark):
+    """The grid is an explode of `part`, which the planner takes for small at any size."""
+    df = catalog.QUERIES["ghost_candidate"](spark, DATA)
+    assert "Broadcast" not in df._jdf.queryExecution().executedPlan().toString()
+    df.collect()
+    assert "Broadcast" not in df._jdf.queryExecution().executedPlan().toString()

@@ -1,6 +1,7 @@
 import datetime as dt
 import pickle
 import random
+from statistics import median
 
 import numpy as np
 import pandas as pd
@@ -223,3 +224,25 @@ def test_stream_of_reviews(spark, tmp_path):
         state[a] = state.get(a, 0) + ok
         want[i] = ok
     assert {r.event_id: r.accepted for r in spark.table("accepted").collect()} == want
+
+
+def test_ghost_candidate_equals_its_definition(spark):
+    rng = random.Random(8)
+    rows = [(i, b, q, rng.choice([0.01, 0.5, 1.0, 2.0, 4.0, None]) if i < 3 else 0.01) for i in range(5) for b in range(30) for q in range(50, 80, 5)] + [(9, 1, 50, 1.0), (9, 1, 55, 1.0)]
+    errors = spark.createDataFrame(rows, "image long, block long, quality int, mse double")
+    for last in (None, 63):
+        want, at = {}, {(i, b, q): m for i, b, q, m in rows}
+        for i in range(5):
+            found = []
+            for q in range(55, 75, 5):
+                near = [[at[i, b, x] for x in (q - 5, q, q + 5)] for b in range(30)]
+                d = [((lo + hi) / 2 - m) / (m + 0.05) for lo, m, hi in near if None not in (lo, m, hi)]
+                if median([at[i, b, q] for b in range(30) if at[i, b, q] is not None]) >= 0.02 and d and (last is None or abs(q - last) >= 3):
+                    found.append((median(d), -q, d))
+            if found:
+                md, q, d = max(found)
+                mad = median([abs(x - md) for x in d])
+                limit = min(0.25 * md, md - Config().ghost_mad_k * 1.4826 * mad)
+                want[i] = (-q, round(md, 9), round(mad, 9), round(limit, 9), sum(x < limit for x in d), len(d))
+        got = {r.image: (r.quality, round(r.median_dip, 9), round(r.mad, 9), round(r.threshold, 9), r.suspicious, r.blocks) for r in layout.ghost_candidate(errors, last).collect()}
+        assert got == want and len(want) == 3
