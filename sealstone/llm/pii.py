@@ -19,10 +19,13 @@ positives; a kind adds spans only if there at least TARGET of what passes is
 positive, which is a lower bound of precision as unlabelled ones count as
 errors. A kind with too few examples adds nothing.
 
-Trees are fitted on the driver on at most SAMPLE distinct candidates of each
-sort, the first by hash, so copies count once; everything else, spans and
-scores of all rows, is column expressions. Offsets are in code points, ends
-exclusive.
+Trees are fitted on all distinct candidates, so copies count once: rows are
+summed by their features, and for each level of a tree Spark adds up the
+gradients by kind, node, feature and value. Only these sums, a row for each
+value that a feature takes, reach the driver. Gradients are whole numbers of
+1 / GRAIN, so a sum does not depend on the order and the trees not on how the
+table is split. Everything is column expressions. Offsets are in code points,
+ends exclusive.
 
 The patterns below differ from the plain ones in README only in speed: a run
 is entered at its start and never given back, which matches the same spans in
@@ -32,7 +35,7 @@ linear time.
 from __future__ import annotations
 
 import math
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -59,10 +62,10 @@ DIGITS, GROUPS = (7, 19), 6
 SIZES = {1: (4, 12), 2: (12, 19), 3: (7, 15)}
 CONTEXT = 24
 CONTEXT_WORDS = r"(?i)(mail|contact|write|phone|tel|call|fax|mobile|card|visa|credit|account|ip|host|server|address)[^A-Za-z]{0,6}$"
-SAMPLE = 1_500
 LEAST = 20
 ROUNDS, RATE = 16, 0.3
 RECALL, TARGET = 0.9, 0.9
+GRAIN = 1 << 24
 BLOCK = 256
 FEATURES = ("number", "digits", "letters", "groups", "longest", "shortest", "first", "last", "head", "before", "after", "context", "luhn")
 #: What no model of a kind sees: the check sum unless it is the kind's own, and how a card's digits are grouped, as any grouping will do.
@@ -223,6 +226,10 @@ def candidates(text: Column, base: Column) -> Column:
 # --- boosted trees -------------------------------------------------------------------------------
 
 
+#: (feature, cut, low, high) of a node that is not cut: no value is above.
+ONE_LEAF = (0, (1 << 31) - 1, 0.0, 0.0)
+
+
 @dataclass(frozen=True)
 class Trees:
     """Trees of two levels: (feature, cut, (feature, cut, low, high), the same for above the cut)."""
@@ -231,18 +238,6 @@ class Trees:
     trees: tuple
     threshold: float
 
-    def margins(self, x):
-        import numpy as np
-
-        def leaf(rows, node):
-            f, cut, low, high = node
-            return np.where(rows[:, f] <= cut, low, high)
-
-        total = np.full(len(x), self.base)
-        for f, cut, below, above in self.trees:
-            total += np.where(x[:, f] <= cut, leaf(x, below), leaf(x, above))
-        return total
-
     def score(self, f: Column) -> Column:
         def leaf(node) -> Column:
             k, cut, low, high = node
@@ -252,76 +247,114 @@ class Trees:
         return sum(parts, F.lit(self.base))
 
 
-def _best_cut(x, g, h, rows):
-    """(gain, feature, cut) by the usual second-order gain; every observed value is a cut."""
-    import numpy as np
+def _examples(found: DataFrame) -> DataFrame:
+    """(base, held, x, n): how many distinct candidates (by what they say) have these features; a third is held out."""
+    flat = found.select(F.explode("candidates").alias("c")).where(~F.col("c.part")).select("c.base", "c.f", "c.v")
+    distinct = flat.groupBy("base", F.col("f.number").alias("number"), "v").agg(F.min("f").alias("f"))
+    held = F.pmod(F.shiftright("v", 7), F.lit(3)) == 0
+    return distinct.groupBy("base", held.alias("held"), F.array(*(F.col("f")[n] for n in FEATURES)).alias("x")).agg(F.count("*").alias("n"))
+
+
+def _models(models: dict[int, Trees], roots: dict | None = None) -> Column:
+    """The models as one literal array, a struct a kind, so that every round runs the same compiled code.
+
+    f and cut are the root's that the next trees have.
+    """
+    names = ("f", "cut", "f0", "cut0", "low0", "high0", "f1", "cut1", "low1", "high1")
+    kinds = ",".join(f"{n}:{'double' if n.startswith(('low', 'high')) else 'int'}" for n in names)
+
+    def said(names, values) -> str:
+        return f"named_struct({','.join(f'{n!r},{v!r}D' if isinstance(v, float) else f'{n!r},{v}' for n, v in zip(names, values))})"
 
-    best, whole = (0.0, 0, 0), (g[rows].sum() ** 2) / (h[rows].sum() + 1)
-    for k in range(x.shape[1]):
-        values, place = np.unique(x[rows, k], return_inverse=True)
-        if len(values) < 2:
-            continue
-        gs, hs = np.cumsum(np.bincount(place, g[rows]))[:-1], np.cumsum(np.bincount(place, h[rows]))[:-1]
-        gain = gs**2 / (hs + 1) + (g[rows].sum() - gs) ** 2 / (h[rows].sum() - hs + 1) - whole
-        j = int(np.argmax(gain))
-        if gain[j] > best[0] + 1e-9:
-            best = (float(gain[j]), k, int(values[j]))
-    return best
+    def one(k: int, model: Trees) -> str:
+        trees = ",".join(said(names, (f, cut, *below, *above)) for f, cut, below, above in model.trees)
+        hidden = f"array({','.join(str(FEATURES.index(n)) for n in HIDDEN[k])})"
+        return said(("k", "base", "f", "cut", "hidden", "trees"), (k, model.base, *(roots[k, 0] if roots else ONE_LEAF)[:2], hidden, f"CAST(array({trees}) AS array<struct<{kinds}>>)"))
 
+    return F.expr(f"array({','.join(one(k, m) for k, m in models.items())})")
 
-def fit_trees(x, y, held) -> Trees | None:
-    """Newton boosting on logistic loss; the threshold comes from the held-out rows.
 
-    None where examples are too few or no threshold has both RECALL and TARGET.
+def _margin(m: Column, x: Column) -> Column:
+    """What a model of `_models` gives for an array of features."""
+    def leaf(t: Column, i: int) -> Column:
+        return F.when(F.get(x, t[f"f{i}"]) <= t[f"cut{i}"], t[f"low{i}"]).otherwise(t[f"high{i}"])
+
+    return F.aggregate(m["trees"], m["base"], lambda s, t: s + F.when(F.get(x, t["f"]) <= t["cut"], leaf(t, 0)).otherwise(leaf(t, 1)))
+
+
+def _is(k: Column) -> Column:
+    """1 where the rules accept a candidate as of kind `k`."""
+    return F.call_function("shiftright", F.col("base"), k).bitwiseAND(F.lit(1))
+
+
+def _cuts(examples: DataFrame, models: dict[int, Trees], roots: dict | None = None) -> dict:
+    """{(kind, side): (feature, cut, low, high)}: the best cut of each node by the usual second-order gain, and its leaves.
+
+    Every observed value is a cut. Nodes are the two sides of `roots`' cuts, or
+    the roots themselves (side 0). Without a cut that gains all rows are below.
     """
     import numpy as np
 
-    train = ~held
-    if min(y[train].sum(), (1 - y[train]).sum(), y[held].sum()) < LEAST:
-        return None
-    rate = y[train].mean()
-    base, trees = float(np.log(rate / (1 - rate))), []
-    margin = np.full(len(y), base)
-    for _ in range(ROUNDS):
-        p = 1 / (1 + np.exp(-margin))
-        g, h = p - y, p * (1 - p)
-        value = lambda rows: float(-RATE * g[rows].sum() / (h[rows].sum() + 1))  # noqa: E731, B023
-        _, k, cut = _best_cut(x, g, h, train)
-        sides = []
-        for part in (train & (x[:, k] <= cut), train & (x[:, k] > cut)):
-            _, k2, cut2 = _best_cut(x, g, h, part) if part.any() else (0, 0, 0)
-            sides.append((k2, cut2, value(part & (x[:, k2] <= cut2)), value(part & (x[:, k2] > cut2))))
-        trees.append((k, cut, *sides))
-        margin = Trees(base, tuple(trees), 0.0).margins(x)
-    of_positives = np.sort(margin[held & (y > 0)])[::-1]
-    cut = of_positives[math.ceil(RECALL * len(of_positives)) - 1]
-    if y[held & (margin >= cut)].mean() < TARGET:
-        return None
-    # A little below, as column expressions may add the leaves in another order.
-    return Trees(base, tuple(trees), float(cut) - 1e-9)
+    m, x, n = F.col("m"), F.col("x"), F.col("n")
+    units = lambda c: F.round(c * GRAIN).cast("long") * n
+    side = F.when(F.get(x, m["f"]) <= m["cut"], 0).otherwise(1)
+    sums = let(1 / (1 + F.exp(-_margin(m, x))), lambda p: F.struct(units(p - _is(m["k"])).alias("g"), units(p * (1 - p)).alias("h")))
+    each = examples.where(~F.col("held")).withColumn("m", F.explode(_models(models, roots))).select("m.k", "m.hidden", side.alias("side"), sums.alias("e"), "x")
+    values = each.select("k", "hidden", "side", "e.*", F.posexplode("x").alias("j", "value")).where(~F.array_contains("hidden", F.col("j")))
+    sums = values.groupBy("k", "side", "j", "value").agg(F.sum("g").alias("g"), F.sum("h").alias("h")).toArrow()
+    k, side, j, value, g, h = (sums.column(c).to_numpy() for c in sums.column_names)
+    order = np.lexsort((value, j, side, k))
+    k, side, j, value, g, h = (c[order] for c in (k, side, j, value, g, h))
+    cuts = {}
+    for node in sorted({*zip(k.tolist(), side.tolist())}):
+        rows = (k == node[0]) & (side == node[1])
+        best, all_g, all_h = (1e-9, *ONE_LEAF[:2], None), 0.0, 0.0
+        for feature in np.unique(j[rows]).tolist():
+            own = rows & (j == feature)
+            gs, hs = np.cumsum(g[own]) / GRAIN, np.cumsum(h[own]) / GRAIN
+            all_g, all_h = gs[-1], hs[-1]
+            gain = (gs**2 / (hs + 1) + (all_g - gs) ** 2 / (all_h - hs + 1) - all_g**2 / (all_h + 1))[:-1]
+            if len(gain) and gain.max() > best[0]:
+                i = int(np.argmax(gain))
+                best = (float(gain[i]), feature, int(value[own][i]), (gs[i], hs[i]))
+        low_g, low_h = best[3] or (all_g, all_h)
+        cuts[node] = (best[1], best[2], float(-RATE * low_g / (low_h + 1)), float(-RATE * (all_g - low_g) / (all_h - low_h + 1)))
+    return cuts
+
+
+def _thresholds(examples: DataFrame, models: dict[int, Trees]) -> dict[int, float]:
+    """The highest score of each kind that keeps RECALL of the held-out positives, where it reaches TARGET.
+
+    Rows are summed by score first, so a row for each distinct score meets in the window.
+    """
+    m, n = F.col("m"), F.col("n")
+    each = examples.where("held").withColumn("m", F.explode(_models(models))).select("m.k", "n", _margin(m, F.col("x")).alias("score"), (_is(m["k"]) * n).alias("hits"))
+    scores = each.groupBy("k", "score").agg(F.sum("n").alias("n"), F.sum("hits").alias("hits"))
+    down, whole = W.partitionBy("k").orderBy(F.desc("score")), W.partitionBy("k")
+    passing = scores.select("k", "score", F.sum("n").over(down).alias("n"), F.sum("hits").over(down).alias("hits"), F.sum("hits").over(whole).alias("all"))
+    first = passing.where(F.col("hits") >= F.ceil(RECALL * F.col("all"))).groupBy("k").agg(F.max_by(F.struct("score", "n", "hits"), "score").alias("c")).select("k", "c.*")
+    return {r.k: r.score for r in first.collect() if r.hits >= TARGET * r.n}
 
 
 def fit(found: DataFrame) -> dict[int, Trees]:
     """Trees for each kind that has enough candidates, from a table of `candidates`.
 
-    Takes at most SAMPLE distinct candidates (by what they say) of each kind,
-    and of unlabelled e-mails and numbers: the first by hash, so the same ones
-    however the table is split. Equal ones are combined before the shuffle.
+    Newton boosting on logistic loss over all distinct candidates. A kind has
+    none where examples are too few or no threshold has both RECALL and TARGET.
     """
-    import numpy as np
-
-    flat = found.select(F.explode("candidates").alias("c")).where(~F.col("c.part")).select("c.base", "c.f", "c.v")
-    distinct = flat.groupBy("base", F.col("f.number").alias("number"), "v").agg(F.min("f").alias("f"))
-    order = F.row_number().over(W.partitionBy("base", "number").orderBy(F.xxhash64("v"), "v"))
-    got = distinct.withColumn("place", order).where(F.col("place") <= SAMPLE).select("base", "v", "f").collect()
-    if not got:
-        return {}
-    x, held = np.array([list(r.f) for r in got]), np.array([(r.v >> 7) % 3 == 0 for r in got])
+    examples = scratch(_examples(found), "pii_examples")
+    counts = {r.held: r for r in examples.groupBy("held").agg(F.sum("n").alias("n"), *(F.sum(_is(F.lit(k)) * F.col("n")).alias(f"k{k}") for k in range(len(KINDS)))).collect()}
     models = {}
-    for k in range(len(KINDS)):
-        seen = np.array([name not in HIDDEN[k] for name in FEATURES])
-        models[k] = fit_trees(x * seen, np.array([float(r.base >> k & 1) for r in got]), held)
-    return {k: m for k, m in models.items() if m}
+    for k in range(len(KINDS)) if len(counts) == 2 else ():
+        n, hits = counts[False]["n"], counts[False][f"k{k}"]
+        if min(hits, n - hits, counts[True][f"k{k}"]) >= LEAST:
+            models[k] = Trees(math.log(hits / (n - hits)), (), 0.0)
+    for _ in range(ROUNDS if models else 0):
+        roots = _cuts(examples, models)
+        sides = _cuts(examples, models, roots)
+        models = {k: replace(m, trees=(*m.trees, (*roots[k, 0][:2], sides.get((k, 0), ONE_LEAF), sides.get((k, 1), ONE_LEAF)))) for k, m in models.items()}
+    # A little below, as column expressions may add the leaves in another order.
+    return {k: replace(models[k], threshold=cut - 1e-9) for k, cut in sorted(_thresholds(examples, models).items())} if models else {}
 
 
 def added_spans(found: Column, base: Column, models: dict[int, Trees]) -> Column:

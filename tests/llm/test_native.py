@@ -159,6 +159,18 @@ def test_pii_copies_count_once(spark):
     assert 3 in pii.fit(found)
 
 
+def test_pii_trees_learn_from_all_candidates(spark):
+    """2,800 known numbers to 200 without a plus are a share of 0.93; the first 1,500 of them were one of 0.88."""
+    rng = random.Random(5)
+    number = lambda: f"1 ({rng.randint(200, 999)}) {rng.randint(200, 999)}-{rng.randint(1000, 9999)}"
+    docs = [(i, f"call me {'+' * (i >= 200)}{number()} now") for i in range(3000)]
+    found = spark.createDataFrame(docs, DOCS).select(pii._found(F.col("text")).alias("x")).select("x.*")
+    held = pii._examples(found).groupBy("held").agg(F.sum("n").alias("n"), F.sum(F.when(F.col("base") == 8, F.col("n"))).alias("hits")).orderBy("held").collect()
+    assert sum(r.n for r in held) >= 3000 and sum(r.hits for r in held) == len({t for _, t in docs[200:]})
+    models = pii.fit(found)
+    assert 3 in models and pii.fit(found.repartition(7)) == models
+
+
 def test_pii_odd(spark, odd_docs):
     assert pii.find(odd_docs).count() == 10 and pii.find(empty(spark)).count() == 0
     assert pii.redact(odd_docs).columns == odd_docs.columns
