@@ -22,7 +22,8 @@ errors. A kind with too few examples adds nothing.
 Trees are fitted on all distinct candidates, so copies count once: rows are
 summed by their features, and for each level of a tree Spark adds up the
 gradients by kind, node, feature and value. Only these sums, a row for each
-value that a feature takes, reach the driver. Gradients are whole numbers of
+value that a feature takes, reach the driver. Up to SINGLE rows are added up by
+one task, as a shuffle for each level costs the driver more. Gradients are whole numbers of
 1 / GRAIN, so a sum does not depend on the order and the trees not on how the
 table is split. Everything is column expressions. Offsets are in code points,
 ends exclusive.
@@ -67,6 +68,8 @@ ROUNDS, RATE = 16, 0.3
 RECALL, TARGET = 0.9, 0.9
 GRAIN = 1 << 24
 BLOCK = 256
+#: Rows of examples that one task adds up.
+SINGLE = 1 << 16
 FEATURES = ("number", "digits", "letters", "groups", "longest", "shortest", "first", "last", "head", "before", "after", "context", "luhn")
 #: What no model of a kind sees: the check sum unless it is the kind's own, and how a card's digits are grouped, as any grouping will do.
 HIDDEN = {0: ("luhn",), 1: ("luhn",), 2: ("groups", "longest", "shortest", "first", "last"), 3: ("luhn",)}
@@ -343,7 +346,9 @@ def fit(found: DataFrame) -> dict[int, Trees]:
     none where examples are too few or no threshold has both RECALL and TARGET.
     """
     examples = scratch(_examples(found), "pii_examples")
-    counts = {r.held: r for r in examples.groupBy("held").agg(F.sum("n").alias("n"), *(F.sum(_is(F.lit(k)) * F.col("n")).alias(f"k{k}") for k in range(len(KINDS)))).collect()}
+    counts = {r.held: r for r in examples.groupBy("held").agg(F.count("*").alias("rows"), F.sum("n").alias("n"), *(F.sum(_is(F.lit(k)) * F.col("n")).alias(f"k{k}") for k in range(len(KINDS)))).collect()}
+    if sum(r.rows for r in counts.values()) <= SINGLE:
+        examples = examples.coalesce(1)
     models = {}
     for k in range(len(KINDS)) if len(counts) == 2 else ():
         n, hits = counts[False]["n"], counts[False][f"k{k}"]

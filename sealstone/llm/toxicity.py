@@ -155,9 +155,13 @@ def fit(docs: DataFrame, labels: DataFrame) -> tuple[dict[int, float], float, tu
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(sample.select(F.col("doc_id").cast("long").alias("doc_id"), "toxic")), "doc_id")
     rows = texts.select("doc_id", "text", "toxic").mapInArrow(hashed, "doc_id bigint, k binary, x binary, toxic int")
     rows = rows.groupBy("doc_id").agg(F.min(F.struct("k", "x", "toxic")).alias("r")).select("doc_id", "r.x", "r.toxic")
-    got = [(_mixed(r.doc_id), r.doc_id, np.frombuffer(bytes(r.x), "<i4").astype(np.int32), r.toxic) for r in rows.toLocalIterator()]
-    got.sort(key=lambda r: r[:2])
-    return train([(x, y) for _, _, x, y in got])
+    # One buffer for all rows: as many small arrays would stay with the driver's allocator after they are freed.
+    got, flat = [], bytearray()
+    for r in rows.toLocalIterator():
+        got.append((_mixed(r.doc_id), r.doc_id, len(flat), len(r.x), r.toxic))
+        flat += r.x
+    got.sort()
+    return train([(np.frombuffer(flat, "<i4", size // 4, at).astype(np.int32, copy=False), y) for _, _, at, size, y in got])
 
 
 def _mixed(doc_id: int) -> int:

@@ -278,6 +278,20 @@ def test_components(spark):
     assert components.roots(spark.createDataFrame([], "u long, v long")).count() == 0
 
 
+def test_components_need_no_round_when_small(spark, monkeypatch):
+    """Few edges are finished by one task; rounds run while there are more, and give the same."""
+    rounds, star = [], components._star
+    monkeypatch.setattr(components, "_star", lambda *a: rounds.append(a) or star(*a))
+    rng = random.Random(9)
+    edges = spark.createDataFrame([(rng.randint(-150, 150), rng.randint(-150, 150)) for _ in range(130)] + [(i, i + 1) for i in range(1000, 1040)], "u long, v long").repartition(5)
+    got = sorted(components.roots(edges).collect())
+    assert not rounds and len(got) > 100
+    for single in (100, 0):
+        monkeypatch.setattr(components, "SINGLE", single)
+        assert sorted(components.roots(edges).collect()) == got and rounds
+        rounds.clear()
+
+
 # --- secrets ---
 
 

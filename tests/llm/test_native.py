@@ -171,6 +171,22 @@ def test_pii_trees_learn_from_all_candidates(spark):
     assert 3 in models and pii.fit(found.repartition(7)) == models
 
 
+def test_pii_few_examples_need_no_shuffle(spark, monkeypatch):
+    """Sums over few examples are one task's work; more are dealt out, with the same trees."""
+    rng = random.Random(8)
+    docs = [(i, f"call me {'+' * (i >= 20)}1 ({rng.randint(200, 999)}) {rng.randint(200, 999)}-{rng.randint(1000, 9999)} now, item {rng.randint(1, 10**6)}") for i in range(600)]
+    found = spark.createDataFrame(docs, DOCS).repartition(3).select(pii._found(F.col("text")).alias("x")).select("x.*")
+    parts, cuts = [], pii._cuts
+    monkeypatch.setattr(pii, "ROUNDS", 2)
+    monkeypatch.setattr(pii, "_cuts", lambda examples, *a: parts.append(examples.rdd.getNumPartitions()) or cuts(examples, *a))
+    monkeypatch.setattr(pii, "scratch", lambda df, name: df.repartition(3))
+    models = pii.fit(found)
+    assert models and set(parts) == {1}
+    parts.clear()
+    monkeypatch.setattr(pii, "SINGLE", 0)
+    assert pii.fit(found) == models and set(parts) == {3}
+
+
 def test_pii_odd(spark, odd_docs):
     assert pii.find(odd_docs).count() == 10 and pii.find(empty(spark)).count() == 0
     assert pii.redact(odd_docs).columns == odd_docs.columns
