@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -224,6 +225,27 @@ def test_quality_rejects_what_diverges(spark):
     assert got[501].kept and got[501].js_chars is None  # too small a reference
 
 
+def test_word_bins_count_every_word(spark):
+    """Bins through the hash table equal plain counts, words beyond the common ones and long ones included; each common word is in its slot only."""
+    rng = random.Random(12)
+    vocabulary = [f"{chr(97 + i % 26)}{'é' * (i % 3)}{i % 7}" for i in range(40)] + ["longer-word", "verylongword", "漢字漢字漢字", "#"]
+    docs = [(i, " ".join(rng.choices(vocabulary, range(1, len(vocabulary) + 1), k=rng.randint(0, 300))), "en" if i % 2 else None) for i in range(60)] + [(60, "severalletters " * 9, "xx")]
+    df = spark.createDataFrame(docs, "doc_id long, text string, lang string").withColumn("lang", F.coalesce("lang", F.lit("")))
+    known = quality.common_words(df).withColumn("slots", quality._slots(F.col("common")))
+    listed = {r.lang: (r.common, r.slots) for r in known.collect()}
+    assert all(sorted(x for s in slots for x in s) == sorted(common) and max(map(len, slots)) < quality.COMMON for common, slots in listed.values()) and set(listed) == {"", "en"}
+    none = F.array().cast("array<string>")
+    bins = quality._word_bins(F.array_remove(F.split("text", " "), ""), F.coalesce("common", none), F.coalesce("slots", F.array(none)))
+    got = {r.doc_id: r.b for r in df.join(known, "lang", "left").select("doc_id", bins.alias("b")).collect()}
+    for i, text, lang in docs:
+        w, common = text.split(), listed.get(lang or "", ([],))[0]
+        counts = [w.count(x) for x in common] + [0] * (quality.COMMON - len(common))
+        assert got[i] == counts + [len(w) - sum(counts)] and sum(got[i]) == len(w)
+    for lang in ("", "en"):
+        short = Counter(x for _, t, g in docs if (g or "") == lang for x in t.split() if len(x) <= quality.COMMON_CHARS)
+        assert listed[lang][0] == sorted(short, key=lambda x: (-short[x], x.encode()))[: quality.COMMON]
+
+
 def test_quality_odd(spark, odd_docs):
     got = quality.quality(odd_docs).collect()
     assert len(got) == 10 and quality.quality(empty(spark)).count() == 0
